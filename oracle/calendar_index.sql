@@ -1,0 +1,9 @@
+, months AS (
+  SELECT DISTINCT CAST(date_trunc('month', fecha) AS DATE) AS mes FROM visits
+), days AS (
+  SELECT mes, CAST(unnest(generate_series(mes, last_day(mes), INTERVAL 1 DAY)) AS DATE) AS fecha FROM months
+)
+SELECT mes, fecha,
+       CAST(dense_rank() OVER (PARTITION BY mes ORDER BY date_trunc('week', fecha)) - 1 AS INTEGER) AS fila,
+       CAST(isodow(fecha) - 1 AS INTEGER) AS columna
+FROM days WHERE isodow(fecha) <= 5

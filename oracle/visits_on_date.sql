@@ -1,0 +1,4 @@
+SELECT fecha, programada_id,
+       row_number() OVER (PARTITION BY fecha ORDER BY orden, programada_id) AS orden,
+       rbd, nombre, organizador, estatus
+FROM visits WHERE estatus IN ('Confirmada', 'Por confirmar')
