@@ -94,7 +94,7 @@ def attendance_lists(attendance: DataFrame) -> DataFrame:
     (programada_id, codigo) is the table's key, so a list is at most as long as
     the table of universities; the set also keeps it so should keys repeat.
     """
-    codes = F.array_sort(F.collect_set("codigo"))
+    codes = F.sort_array(F.collect_set("codigo"))
     nulls = F.max(F.col("codigo").isNull())
     listed = F.when(nulls, F.concat(F.array(F.lit(None).cast("int")), codes)).otherwise(codes)
     return attendance.groupBy("programada_id", "asiste").agg(listed.alias("codigos"))
@@ -142,18 +142,28 @@ def answer_label(strict: bool = True) -> Column:
 def attendance_matrix(attendance: DataFrame, universities: Mapping[int, str], *, strict: bool = True) -> DataFrame:
     """One row per visit, one column per active university, the answer's label in the cell.
 
-    One aggregate per university with map-side combine: one shuffle, where
-    ``pivot`` would need two. Strict: a repeated (visit, university) fails.
+    One integer aggregate per university with map-side combine and a single
+    shuffle, where ``pivot`` needs two. Strict: a repeated (visit, university)
+    or an unknown answer fails the query.
     """
-    labelled = attendance.select("programada_id", "codigo", answer_label(strict).alias("_label"))
-    cells = []
-    for code, name in universities.items():
-        mine = F.col("codigo") == code
-        cell = F.max(F.when(mine, F.col("_label")))
-        if strict:
-            cell = fail_when(F.count_if(mine) > 1, "a university answers a visit twice", cell)
-        cells.append(cell.alias(name))
-    return labelled.groupBy("programada_id").agg(*cells)
+    codes = list(universities)
+    # -1 marks a row without an answer, so that a cell tells rows from no rows.
+    cells = attendance.groupBy("programada_id").agg(
+        F.count_if(F.col("codigo").isin(*codes)).alias("_filas"),
+        *[F.expr(f"max(CASE WHEN codigo = {code} THEN coalesce(asiste, -1) END)").alias(f"_{code}") for code in codes],
+    )
+    labels = " ".join(f"WHEN {answer} THEN '{text}'" for answer, text in S.ANSWER_LABELS.items())
+    if strict:
+        filled = " + ".join(f"int(_{code} IS NOT NULL)" for code in codes)
+        cells = cells.filter(f"CASE WHEN _filas > {filled} THEN raise_error('a university answers a visit twice') ELSE true END")
+        labels += " WHEN -1 THEN NULL ELSE raise_error('unknown answer')"
+    return cells.select(
+        "programada_id",
+        *[
+            F.expr(f"CASE WHEN _{code} IS NOT NULL THEN CASE _{code} {labels} END END").alias(name)
+            for code, name in universities.items()
+        ],
+    )
 
 
 def duplicate_answers(attendance: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def business_day_offset(days: DataFrame, holidays: DataFrame, offset: int, *, co
         starts.select("fecha", F.explode(window).alias("_dia"))
         .join(closed, "_dia", "left_anti")
         .groupBy("fecha")
-        .agg(F.array_sort(F.collect_list("_dia")).alias("_dias"))  # at most 14 days
+        .agg(F.sort_array(F.collect_list("_dia")).alias("_dias"))  # at most 14 days
         .select("fecha", F.get("_dias", F.lit(offset)).alias("habil"))
     )
     return starts.join(open_days, "fecha", "left")

@@ -11,7 +11,6 @@ with a few, and then joins the snapshot once.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,18 +53,14 @@ def changed_fields(stored: DataFrame, submitted: DataFrame) -> DataFrame:
     that was removed is a change too.
     """
     fields = S.FORM_FIELDS
-    old = transport_encode(stored).select("programada_id", *[F.col(f).cast("string").alias(f"_{f}") for f in fields])
-    new = submitted.select("programada_id", *[blank_to_null(F.col(f).cast("string")).alias(f) for f in fields])
-    entries = [
-        F.when(
-            ~F.col(f).eqNullSafe(F.col(f"_{f}")),
-            F.struct(F.lit(f).alias("campo"), F.col(f"_{f}").alias("anterior"), F.col(f).alias("nuevo")),
-        )
-        for f in fields
-    ]
+    old = transport_encode(stored).selectExpr("programada_id", *[f"CAST({f} AS STRING) AS _{f}" for f in fields])
+    new = submitted.selectExpr("programada_id", *[f"nullif(CAST({f} AS STRING), '') AS {f}" for f in fields])
+    entries = ", ".join(
+        f"CASE WHEN NOT ({f} <=> _{f}) THEN struct('{f}' AS campo, _{f} AS anterior, {f} AS nuevo) END" for f in fields
+    )
     return (
         new.join(old, "programada_id")
-        .select("programada_id", F.explode(F.array(*entries)).alias("_cambio"))
+        .select("programada_id", F.explode(F.expr(f"array({entries})")).alias("_cambio"))
         .filter(F.col("_cambio").isNotNull())
         .select("programada_id", "_cambio.*")
     )
@@ -92,33 +87,33 @@ def typed_patch(changes: DataFrame, *, field: str = "campo", value: str = "valor
 # ---------------------------------------------------------------------- apply
 
 
-def _column_types() -> dict[str, T.DataType]:
-    return {f.name: f.dataType for f in S.VISIT_SCHEMA.fields}
-
-
-def apply_changes(visits: DataFrame, changes: DataFrame, *, fields: Sequence[str] = PATCHABLE) -> DataFrame:
+def apply_changes(visits: DataFrame, changes: DataFrame) -> DataFrame:
     """Snapshot after patches and deletes. A deleted visit stays deleted whatever else was sent for it.
 
     Values must be in stored form (see ``typed_patch``); one that is not fails
-    the query rather than turning into null. ``fields`` may name the few fields
-    the batch touches.
+    the query rather than turning into null.
     """
-    types = _column_types()
-    entry = F.struct("seq", "valor")
-    latest = [
-        F.max(F.when((F.col("accion") == PATCH) & (F.col("campo") == f), entry)).alias(f"_{f}") for f in fields
-    ]
-    per_visit = changes.groupBy("programada_id").agg(
-        F.coalesce(F.bool_or(F.col("accion") == DELETE), F.lit(False)).alias("_borrada"), *latest
+    # A delete is kept as a change to the field without a name.
+    latest = (
+        changes.filter((F.col("accion") == DELETE) | F.col("campo").isin(*PATCHABLE))
+        .groupBy("programada_id", F.when(F.col("accion") == DELETE, F.lit("")).otherwise(F.col("campo")).alias("_campo"))
+        .agg(F.max(F.struct("seq", "valor")).alias("_ultimo"))
+    )
+    # At most one entry per field of the form.
+    per_visit = latest.groupBy("programada_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("_campo", "_ultimo.valor"))).alias("_cambios")
     )
-    patched = {
-        f: F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.valor").cast(types[f])).otherwise(F.col(f)) for f in fields
-    }
+    patched = [
+        f"CASE WHEN map_contains_key(_cambios, '{f.name}') THEN CAST(_cambios['{f.name}'] AS {f.dataType.simpleString()})"
+        f" ELSE {f.name} END AS {f.name}"
+        if f.name in PATCHABLE
+        else f.name
+        for f in visits.schema.fields
+    ]
     return (
         visits.join(per_visit, "programada_id", "left")
-        .filter(~F.coalesce("_borrada", F.lit(False)))
-        .withColumns(patched)
-        .select(*visits.columns)
+        .filter("NOT coalesce(map_contains_key(_cambios, ''), false)")
+        .selectExpr(*patched)
     )
 
 

@@ -28,13 +28,11 @@ def visit_report_items(visits: DataFrame, communes: DataFrame, slots: DataFrame,
             **{c: F.coalesce(c, F.lit("")) for c in _TEXT_ITEMS},
         }
     )
-    lines = [
-        F.struct(
-            F.lit(n).alias("posicion"), F.lit(label).alias("etiqueta"), F.col(item).cast("string").alias("valor")
-        )
+    lines = ", ".join(
+        f"struct({n} AS posicion, '{label}' AS etiqueta, CAST({item} AS STRING) AS valor)"
         for n, (item, label) in enumerate(S.REPORT_ITEMS.items(), start=1)
-    ]
-    return rows.select("programada_id", F.inline(F.array(*lines)))
+    )
+    return rows.select("programada_id", F.expr(f"inline(array({lines}))"))
 
 
 def visit_report(
@@ -68,22 +66,13 @@ def visit_report(
     if user == S.PUBLIC_USER:
         public = roster.filter(F.col("_rango") == 1)
         return items.select(*columns).unionByName(public.select(*columns))
-    texts = {"asistentes_prog": "Asistencia/Programación", "observaciones": "Observaciones"}
-    notes = visits.select(
+    notes = visits.selectExpr(
         "programada_id",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit("Detalle").alias("seccion"),
-                        F.lit(n).alias("posicion"),
-                        F.lit(label).alias("etiqueta"),
-                        F.coalesce(column, F.lit("")).alias("valor"),
-                    )
-                    for n, (column, label) in enumerate(texts.items(), start=1)
-                ]
-            )
-        ),
+        """inline(array(
+            struct('Detalle' AS seccion, 1 AS posicion, 'Asistencia/Programación' AS etiqueta,
+                   coalesce(asistentes_prog, '') AS valor),
+            struct('Detalle' AS seccion, 2 AS posicion, 'Observaciones' AS etiqueta,
+                   coalesce(observaciones, '') AS valor)))""",
     )
     mine = attendance.filter(F.col("codigo") == user).select("programada_id", answer_label().alias("valor"))
     own = with_university(

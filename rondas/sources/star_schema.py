@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rondas import schema as S
@@ -27,40 +27,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _clock(hours: Column, minutes: Column) -> Column:
-    return F.format_string("%02d:%02d:00", hours.cast("int"), minutes.cast("int"))
+def _clock(hours: str, minutes: str) -> str:
+    return f"concat(lpad({hours}, 2, '0'), ':', lpad({minutes}, 2, '0'), ':00')"
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    fecha = F.col("o_orderdate").cast("date")
-    organizer = (F.col("o_custkey") % CODES).cast("int")
-    hour, minute = F.floor((key % 40) / 4), (key % 4) * 15
-    timed = key % 11 != 0
-    limit = F.lit(SEASON_LIMIT)
+    timed = "o_orderkey % 11 <> 0"
+    minute = "(o_orderkey % 4) * 15"
+    fecha = "CAST(o_orderdate AS DATE)"
+    limit = f"DATE '{SEASON_LIMIT}'"
     values = {
-        "programada_id": key,
-        "orden": key % 97,
-        "organizador_id": organizer,
-        "organizador": F.concat(F.lit("NATION_"), organizer.cast("string")),
+        "programada_id": "o_orderkey",
+        "orden": "o_orderkey % 97",
+        "organizador_id": f"o_custkey % {CODES}",
+        "organizador": f"concat('NATION_', o_custkey % {CODES})",
         "fecha": fecha,
-        "rbd": F.col("o_custkey"),
-        "nombre": F.col("c_name"),
-        "direccion": F.col("c_mktsegment"),
-        "comuna_id": F.col("c_nationkey"),
-        "hora_ini": F.when(timed, _clock(hour + 8, minute)),
-        "hora_fin": F.when(timed, _clock(hour + 9, minute)),
-        "asistentes": F.concat((key % 90 + 10).cast("string"), F.lit(" estudiantes")),
-        "estatus": F.when(F.col("o_orderstatus") == "P", S.SUSPENDED)
-        .when(F.col("o_orderstatus") == "O", S.UNCONFIRMED)
-        .when(fecha < F.lit(AS_OF), S.DONE)
-        .otherwise(S.CONFIRMED),
-        "observaciones": F.col("o_orderpriority"),
-        "fecha_lim": F.when(F.col("o_orderpriority") == "5-LOW", F.least(limit, F.date_add(fecha, 30))).otherwise(limit),
+        "rbd": "o_custkey",
+        "nombre": "c_name",
+        "direccion": "c_mktsegment",
+        "comuna_id": "c_nationkey",
+        "hora_ini": f"CASE WHEN {timed} THEN {_clock('8 + (o_orderkey % 40) div 4', minute)} END",
+        "hora_fin": f"CASE WHEN {timed} THEN {_clock('9 + (o_orderkey % 40) div 4', minute)} END",
+        "asistentes": "concat(o_orderkey % 90 + 10, ' estudiantes')",
+        "estatus": f"CASE WHEN o_orderstatus = 'P' THEN '{S.SUSPENDED}' WHEN o_orderstatus = 'O' THEN '{S.UNCONFIRMED}'"
+        f" WHEN {fecha} < DATE '{AS_OF}' THEN '{S.DONE}' ELSE '{S.CONFIRMED}' END",
+        "observaciones": "o_orderpriority",
+        "fecha_lim": f"CASE WHEN o_orderpriority = '5-LOW' THEN least({limit}, date_add({fecha}, 30)) ELSE {limit} END",
     }
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
-        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.VISIT_SCHEMA.fields]
+    return orders.join(customers, F.expr("o_custkey = c_custkey")).selectExpr(
+        *[f"CAST({values.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in S.VISIT_SCHEMA.fields]
     )
 
 
@@ -106,6 +102,5 @@ def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def time_slots(spark: SparkSession) -> DataFrame:
     """The 96 quarter hours of a day."""
-    slot = spark.range(96)
-    hora = _clock(F.floor(F.col("id") / 4), (F.col("id") % 4) * 15)
-    return slot.select(hora.alias("hora"), F.substring(hora, 1, 5).alias("etiqueta"))
+    hora = _clock("id div 4", "(id % 4) * 15")
+    return spark.range(96).selectExpr(f"{hora} AS hora", f"substring({hora}, 1, 5) AS etiqueta")
