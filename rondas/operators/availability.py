@@ -30,8 +30,8 @@ def date_availability(requests: DataFrame, blocked: DataFrame) -> DataFrame:
 def guard_requests(visits: DataFrame, requests: DataFrame, capacity: int) -> DataFrame:
     """Decide requests as if they came one by one in ``seq`` order: aceptada, rechazada or ignorada.
 
-    Columns of ``requests``: seq (unique), fecha, rbd, estatus, fecha_propia
-    (null for a new visit). A request takes a place when its visit is active and
+    Columns of ``requests``: seq (unique), fecha, estatus, fecha_propia (null
+    for a new visit) and, for new visits, rbd. A request takes a place when its visit is active and
     the date is not its own; it is rejected when the date was already full. A
     place freed by a move counts from the next batch on. Requests without a
     school or a date are ignored.
@@ -41,7 +41,9 @@ def guard_requests(visits: DataFrame, requests: DataFrame, capacity: int) -> Dat
     themselves are never grouped or ranked as a whole.
     """
     used = _active_per_date(visits)
-    ignored = (F.coalesce(F.col("rbd"), F.lit(0)) == 0) | F.col("fecha").isNull()
+    ignored = F.col("fecha").isNull()
+    if "rbd" in requests.columns:
+        ignored = ignored | (F.coalesce(F.col("rbd"), F.lit(0)) == 0)
     own = F.col("fecha").eqNullSafe(F.col("fecha_propia"))
     takers = requests.filter(~ignored & ~own & is_active()).select("fecha", "seq")
     # rank <= capacity is applied on the map side too (window group limit), so a

@@ -30,7 +30,7 @@ PATCHABLE = (*S.FORM_FIELDS, "fecha_lim")
 
 def transport_encode(visits: DataFrame) -> DataFrame:
     """Dates as ISO text; times already are text."""
-    return visits.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in S.DATE_COLUMNS})
+    return visits.withColumns({c: F.col(c).cast("string") for c in S.DATE_COLUMNS})
 
 
 def transport_decode(rows: DataFrame) -> DataFrame:
@@ -50,26 +50,27 @@ def changed_fields(stored: DataFrame, submitted: DataFrame) -> DataFrame:
     """One row per field whose submitted value differs from the stored one.
 
     ``submitted`` is in transport form; its empty texts count as null. A value
-    that was removed is a change too.
+    that was removed is a change too. A ``seq`` column is kept.
     """
     fields = S.FORM_FIELDS
+    keys = [c for c in ("seq", "programada_id") if c in submitted.columns]
     old = transport_encode(stored).selectExpr("programada_id", *[f"CAST({f} AS STRING) AS _{f}" for f in fields])
-    new = submitted.selectExpr("programada_id", *[f"nullif(CAST({f} AS STRING), '') AS {f}" for f in fields])
+    new = submitted.selectExpr(*keys, *[f"nullif(CAST({f} AS STRING), '') AS {f}" for f in fields])
     entries = ", ".join(
         f"CASE WHEN NOT ({f} <=> _{f}) THEN struct('{f}' AS campo, _{f} AS anterior, {f} AS nuevo) END" for f in fields
     )
     return (
         new.join(old, "programada_id")
-        .select("programada_id", F.explode(F.expr(f"array({entries})")).alias("_cambio"))
+        .select(*keys, F.explode(F.expr(f"array({entries})")).alias("_cambio"))
         .filter(F.col("_cambio").isNotNull())
-        .select("programada_id", "_cambio.*")
+        .select(*keys, "_cambio.*")
     )
 
 
 def _normal_value(field: Column, value: Column) -> Column:
     """The value in the one form its field is stored in, null when it has none."""
     return (
-        F.when(field.isin(*S.DATE_COLUMNS), F.date_format(parse_date(value), "yyyy-MM-dd"))
+        F.when(field.isin(*S.DATE_COLUMNS), parse_date(value).cast("string"))
         .when(field.isin(*S.TIME_COLUMNS), parse_time(value))
         .when(field == "comuna_id", value.try_cast("int").cast("string"))
         .otherwise(value)

@@ -46,32 +46,43 @@ def with_ordinal(
     rows = rows.dropna(subset=keys)
     cell = [*keys, spread] if spread else list(keys)
     counts = cut_lineage(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")))
-    hot = counts.filter(F.col("_n") > hot_rows)
-    cells, hot_total = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
-
-    in_cell = Window.partitionBy(*cell).orderBy(*order)
+    hot = F.col("_n") > hot_rows
+    cells, hot_total = counts.filter(hot).agg(F.count(F.lit(1)), F.sum("_n")).first()
+
+    before = F.lit(0)
+    if spread:
+        # A group has at most one row here per calendar date.
+        earlier = Window.partitionBy(*keys).orderBy(spread).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    offsets = counts.select(*cell, "_n", before.alias("_before"))
     if not cells:
-        numbered = rows.withColumn("_in_cell", F.row_number().over(in_cell).cast("long"))
-    else:
-        # At most rows / hot_rows cells are hot, and here their number is known.
-        marks = hot.select(*[F.col(c).alias(f"_s_{c}") for c in cell])
-        marks = F.broadcast(marks) if cells <= MAX_BROADCAST_CELLS else marks
-        match = _all_same(cell, "_s_")
-        cold = rows.join(marks, match, "left_anti").withColumn("_in_cell", F.row_number().over(in_cell).cast("long"))
-        large = rows.join(marks, match, "left_semi")
-        parts = -(-2 * hot_total // hot_rows)
-        numbered = cold.unionByName(_number_by_range(large, cell, order, int(parts)))
+        return _number_by_cell(rows, offsets, cell, order, name, bool(spread))
+
+    # At most rows / hot_rows cells are hot, and here their number is known.
+    marks = offsets.filter(hot).select(*[F.col(c).alias(f"_s_{c}") for c in cell], "_before")
+    marks = F.broadcast(marks) if cells <= MAX_BROADCAST_CELLS else marks
+    match = _all_same(cell, "_s_")
+    cold = _number_by_cell(rows.join(marks, match, "left_anti"), offsets, cell, order, name, bool(spread))
+    large = rows.join(marks, match).select(*rows.columns, "_before")
+    parts = int(-(-2 * hot_total // hot_rows))
+    numbered = _number_by_range(large, cell, order, parts)
+    return cold.unionByName(
+        numbered.select(*rows.columns, (F.col("_before") + F.col("_in_cell")).alias(name))
+    )
 
+
+def _number_by_cell(
+    rows: DataFrame, offsets: DataFrame, cell: list[str], order: list[str], name: str, spread: bool
+) -> DataFrame:
+    """Number inside each (group, date) and add what comes before; one shuffle serves window and join."""
+    in_cell = F.row_number().over(Window.partitionBy(*cell).orderBy(*order)).cast("long")
     if not spread:
-        return numbered.withColumnRenamed("_in_cell", name)
-    # A group has at most one row here per calendar date.
-    earlier = Window.partitionBy(*keys).orderBy(spread).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        return rows.withColumn(name, in_cell)
     # A null date finds no partner: nulls come first, so nothing precedes it.
     return (
-        numbered.join(offsets, cell, "left")
-        .withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_in_cell"))
-        .drop("_before", "_in_cell")
+        rows.withColumn("_in_cell", in_cell)
+        .join(offsets.select(*cell, "_before"), cell, "left")
+        .select(*rows.columns, (F.coalesce("_before", F.lit(0)) + F.col("_in_cell")).alias(name))
     )
 
 

@@ -16,23 +16,36 @@ from rondas.operators.visits import labelled_columns
 _TEXT_ITEMS = ("direccion", "orientador", "asistentes")
 
 
-def visit_report_items(visits: DataFrame, communes: DataFrame, slots: DataFrame, *, strict: bool = False) -> DataFrame:
-    """Twelve (posicion, etiqueta, valor) lines per visit."""
-    rows = visits.select("programada_id", *S.REPORT_ITEMS)
-    rows = with_commune(rows, communes, strict=strict).withColumn("comuna_id", F.col("comuna"))
+def _formatted(visits: DataFrame, communes: DataFrame, slots: DataFrame, *, strict: bool) -> DataFrame:
+    """Report values as text: dates and times labelled, some blanks for nulls."""
+    rows = with_commune(visits, communes, strict=strict).withColumn("comuna_id", F.col("comuna"))
     for column in S.TIME_COLUMNS:
         rows = with_slot_label(rows, slots, column, strict=strict)
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
             "fecha": date_label_es(F.col("fecha")),
             **{c: F.coalesce(c, F.lit("")) for c in _TEXT_ITEMS},
         }
     )
-    lines = ", ".join(
-        f"struct({n} AS posicion, '{label}' AS etiqueta, CAST({item} AS STRING) AS valor)"
-        for n, (item, label) in enumerate(S.REPORT_ITEMS.items(), start=1)
+
+
+def _line(section: str, position: int, label: str, value: str) -> str:
+    return (
+        f"struct('{section}' AS seccion, {position} AS posicion, {label} AS etiqueta, CAST({value} AS STRING) AS valor)"
     )
-    return rows.select("programada_id", F.expr(f"inline(array({lines}))"))
+
+
+def _item_lines() -> list[str]:
+    return [
+        _line("Información general:", n, f"'{label}'", item)
+        for n, (item, label) in enumerate(S.REPORT_ITEMS.items(), start=1)
+    ]
+
+
+def visit_report_items(visits: DataFrame, communes: DataFrame, slots: DataFrame, *, strict: bool = False) -> DataFrame:
+    """Twelve (posicion, etiqueta, valor) lines per visit."""
+    rows = _formatted(visits.select("programada_id", *S.REPORT_ITEMS), communes, slots, strict=strict)
+    return rows.select("programada_id", F.expr(f"inline(array({', '.join(_item_lines())}))")).drop("seccion")
 
 
 def visit_report(
@@ -50,9 +63,9 @@ def visit_report(
     also sees programme, notes, all three lists and its own answer.
     """
     columns = ["programada_id", "seccion", "posicion", "etiqueta", "valor"]
-    items = visit_report_items(visits, communes, slots).withColumn("seccion", F.lit("Información general:"))
+    shown = attendance if user != S.PUBLIC_USER else attendance.filter(F.col("asiste") == S.ANSWER_YES)
     roster = (
-        attendance_roster(attendance, universities)
+        attendance_roster(shown, universities)
         .join(visits.select("programada_id"), "programada_id", "left_semi")
         .select(
             "programada_id",
@@ -60,32 +73,24 @@ def visit_report(
             F.col("n").alias("posicion"),
             F.lit(None).cast("string").alias("etiqueta"),
             F.concat(F.col("n").cast("string"), F.lit(") "), "universidad").alias("valor"),
-            F.col("seccion").alias("_rango"),
         )
     )
-    if user == S.PUBLIC_USER:
-        public = roster.filter(F.col("_rango") == 1)
-        return items.select(*columns).unionByName(public.select(*columns))
-    notes = visits.selectExpr(
-        "programada_id",
-        """inline(array(
-            struct('Detalle' AS seccion, 1 AS posicion, 'Asistencia/Programación' AS etiqueta,
-                   coalesce(asistentes_prog, '') AS valor),
-            struct('Detalle' AS seccion, 2 AS posicion, 'Observaciones' AS etiqueta,
-                   coalesce(observaciones, '') AS valor)))""",
-    )
-    mine = attendance.filter(F.col("codigo") == user).select("programada_id", answer_label().alias("valor"))
-    own = with_university(
-        visits.select("programada_id", F.lit(user).alias("codigo")).join(mine, "programada_id", "left"),
-        universities,
-        name="etiqueta",
-    ).select("programada_id", F.lit("Asistencia a visita:").alias("seccion"), F.lit(1).alias("posicion"), "etiqueta", "valor")
-    return (
-        items.select(*columns)
-        .unionByName(notes.select(*columns))
-        .unionByName(roster.select(*columns))
-        .unionByName(own)
-    )
+    lines = _item_lines()
+    fields = [*S.REPORT_ITEMS]
+    if user != S.PUBLIC_USER:
+        lines += [
+            _line("Detalle", 1, "'Asistencia/Programación'", "coalesce(asistentes_prog, '')"),
+            _line("Detalle", 2, "'Observaciones'", "coalesce(observaciones, '')"),
+            _line("Asistencia a visita:", 1, "_usuario", "_respuesta"),
+        ]
+        fields += ["asistentes_prog", "observaciones"]
+    rows = visits.select("programada_id", *fields)
+    if user != S.PUBLIC_USER:
+        mine = attendance.filter(F.col("codigo") == user).select("programada_id", answer_label().alias("_respuesta"))
+        rows = rows.join(mine, "programada_id", "left").withColumn("_codigo", F.lit(user))
+        rows = with_university(rows, universities, key="_codigo", name="_usuario")
+    rows = _formatted(rows, communes, slots, strict=False)
+    return rows.select("programada_id", F.expr(f"inline(array({', '.join(lines)}))")).select(*columns).unionByName(roster)
 
 
 def export_public(visits: DataFrame, month: int = 0, *, years: list[int] | None = None) -> DataFrame:

@@ -109,7 +109,8 @@ def edit_flags(visits: DataFrame, as_of: dt.date | str, season_limit: dt.date |
 
 def visits_by_id(visits: DataFrame, wanted: DataFrame) -> DataFrame:
     """The visits whose ``programada_id`` is asked for."""
-    return visits.join(wanted.select("programada_id"), "programada_id", "left_semi")
+    # Distinct first: an id asked for very often is one row after map-side combine.
+    return visits.join(wanted.select("programada_id").distinct(), "programada_id", "left_semi")
 
 
 def unknown_ids(visits: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -123,13 +124,18 @@ def column_filter_sort(
     sort: Sequence[str] = (),
     *,
     descending: Iterable[str] = (),
+    unique: str = "programada_id",
 ) -> DataFrame:
-    """Keep rows whose columns contain the given texts, upper or lower case alike, then sort."""
+    """Keep rows whose columns contain the given texts, upper or lower case alike, then sort.
+
+    The unique column settles ties: the sort key then splits evenly over tasks
+    even when a column has a handful of values.
+    """
     for column, text in (contains or {}).items():
         rows = rows.filter(F.lower(F.col(column).cast("string")).contains(text.lower()))
     if sort:
         down = set(descending)
-        rows = rows.orderBy(*[F.col(c).desc() if c in down else F.col(c).asc() for c in sort])
+        rows = rows.orderBy(*[F.col(c).desc() if c in down else F.col(c).asc() for c in (*sort, unique)])
     return rows
 
 

@@ -16,7 +16,7 @@ from rondas.functions import dates as D
 from rondas.operators import attendance as A
 from rondas.operators import availability, calendar, changes, lookups, reports
 from rondas.operators import visits as V
-from rondas.plans import screens
+from rondas.plans import editing, screens
 from rondas.sources import star_schema as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -359,6 +359,19 @@ def apply_inserts(spark, d):
     return changes.insert_visits(X.visits(spark, d), _new_requests(spark, d), X.SEASON_LIMIT)
 
 
+def submit_forms(spark, d):
+    forms = _forms(spark, d).withColumn("seq", F.col("programada_id"))
+    return editing.submit_forms(X.visits(spark, d), forms, X.CAPACITY).snapshot
+
+
+def add_visits(spark, d):
+    t = _tables(spark, d)
+    asked = _new_requests(spark, d).withColumn("organizador_id", (F.col("seq") % 2 + 1).cast("int"))
+    return editing.add_visits(
+        t.visits, asked, t.schools, t.communes, t.universities, X.CAPACITY, X.SEASON_LIMIT
+    ).snapshot
+
+
 def close_visits(spark, d):
     return changes.close_visits(X.visits(spark, d), _closings(spark, d), X.holidays(spark, d))
 
@@ -422,7 +435,7 @@ QUERIES: dict[str, Query] = {
         blocked_dates, date_availability, guarded_insert,
         school_enrichment, lookup_misses, visit_report_items, visit_report_public, visit_report_full,
         date_label_es, time_label, active_universities, university_options, school_options, edit_flags,
-        changed_fields, typed_patch, apply_changes, apply_inserts, close_visits,
+        changed_fields, typed_patch, apply_changes, apply_inserts, submit_forms, add_visits, close_visits,
         answer_invitation, flag_invitation, transport_encode, transport_decode,
         visit_by_id, unknown_ids, column_filter_sort, labelled_columns, small_projections,
     )
