@@ -58,10 +58,17 @@ def add_visits(
     capacity: int,
     season_limit: dt.date | str,
 ) -> Edit:
-    """Add requested visits (seq, organizador_id, fecha, rbd, estatus, ...) while their dates have places."""
+    """Add requested visits (seq, organizador_id, fecha, rbd, estatus, ...) while their dates have places.
+
+    A commune given in the request stands; otherwise it is the school's.
+    """
     asked = requests.withColumn("fecha_propia", F.lit(None).cast("date"))
     decisions = cut_lineage(guard_requests(visits, asked, capacity).drop("fecha_propia"))
     accepted = decisions.filter(F.col("decision") == "aceptada").drop("decision")
     named = with_university(accepted, universities, key="organizador_id", name="organizador")
+    if "comuna_id" in requests.columns:
+        named = named.withColumnRenamed("comuna_id", "_comuna_id")
     named = school_enrichment(named, schools, communes)
+    if "comuna_id" in requests.columns:
+        named = named.withColumn("comuna_id", F.coalesce("_comuna_id", "comuna_id"))
     return Edit(snapshot=C.insert_visits(visits, named, season_limit), decisions=decisions)
