@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rondas import schema as S
 from rondas.functions.dates import date_label_es, in_month
 from rondas.operators.attendance import answer_label, attendance_matrix, attendance_roster
-from rondas.operators.lookups import with_commune, with_slot_label, with_university
+from rondas.operators.lookups import with_commune, with_slot_label
 from rondas.operators.visits import labelled_columns
 
 _TEXT_ITEMS = ("direccion", "orientador", "asistentes")
@@ -87,8 +87,8 @@ def visit_report(
     rows = visits.select("programada_id", *fields)
     if user != S.PUBLIC_USER:
         mine = attendance.filter(F.col("codigo") == user).select("programada_id", answer_label().alias("_respuesta"))
-        rows = rows.join(mine, "programada_id", "left").withColumn("_codigo", F.lit(user))
-        rows = with_university(rows, universities, key="_codigo", name="_usuario")
+        own_name = universities.filter(F.col("codigo") == user).select("universidad").scalar()
+        rows = rows.join(mine, "programada_id", "left").withColumn("_usuario", own_name)
     rows = _formatted(rows, communes, slots, strict=False)
     return rows.select("programada_id", F.expr(f"inline(array({', '.join(lines)}))")).select(*columns).unionByName(roster)
 

@@ -16,7 +16,7 @@ from rondas.sources.shared import cut_lineage
 
 @dataclass(frozen=True)
 class Edit:
-    """The new snapshot, the decision on every request and the values that did not fit their field."""
+    """The new snapshot, the decision on every request for a date and the fields whose value did not fit."""
 
     snapshot: DataFrame
     decisions: DataFrame
@@ -26,27 +26,25 @@ class Edit:
 def submit_forms(visits: DataFrame, forms: DataFrame, capacity: int) -> Edit:
     """Apply edit forms (seq, programada_id, form fields in transport form).
 
-    A form that moves its visit to a date already full is rejected as a whole.
+    A form that moves its visit to a date already full, or that holds a value
+    that does not fit its field, is rejected as a whole.
     """
-    # Three uses below share the one join with the snapshot, so it is written out.
-    differences = cut_lineage(C.changed_fields(visits, forms))
+    # Several uses below share the one join with the snapshot, so it is written out.
+    differences = cut_lineage(
+        C.typed_patch(C.changed_fields(visits, forms).withColumnRenamed("nuevo", "valor"))
+    )
     moves = (
-        differences.filter((F.col("campo") == "fecha") & F.col("nuevo").isNotNull())
-        .select("seq", F.to_date("nuevo").alias("fecha"), F.to_date("anterior").alias("fecha_propia"))
+        differences.filter((F.col("campo") == "fecha") & F.col("valor").isNotNull())
+        .select("seq", F.to_date("valor").alias("fecha"), F.to_date("anterior").alias("fecha_propia"))
         .join(forms.select("seq", "estatus"), "seq")
     )
     decisions = guard_requests(visits, moves, capacity)
-    rejected = decisions.filter(F.col("decision") == "rechazada").select("seq")
-    patches = C.typed_patch(
-        differences.join(rejected, "seq", "left_anti").select(
-            "seq", "programada_id", F.lit(C.PATCH).alias("accion"), "campo", F.col("nuevo").alias("valor")
-        )
-    )
-    return Edit(
-        snapshot=C.apply_changes(visits, patches.filter("valido").drop("valido")),
-        decisions=decisions,
-        invalid=patches.filter("NOT valido").drop("valido"),
+    invalid = differences.filter("NOT valido").select("seq", "programada_id", "campo")
+    rejected = decisions.filter(F.col("decision") == "rechazada").select("seq").union(invalid.select("seq")).distinct()
+    patches = differences.join(rejected, "seq", "left_anti").select(
+        "seq", "programada_id", F.lit(C.PATCH).alias("accion"), "campo", "valor"
     )
+    return Edit(snapshot=C.apply_changes(visits, patches), decisions=decisions, invalid=invalid)
 
 
 def add_visits(
