@@ -18,12 +18,16 @@ def blocked_dates(visits: DataFrame, capacity: int) -> DataFrame:
 
 
 def date_availability(requests: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Mark each requested ``fecha`` as blocked or not; ``fecha_propia`` is the date a moved visit holds itself.
+    """Mark each requested ``fecha`` as blocked or not.
 
-    ``blocked`` has at most one row per calendar date, which bounds the broadcast.
+    A ``fecha_propia`` column holds the date a moved visit has itself, which is
+    never blocked for it. ``blocked`` has at most one row per calendar date,
+    which bounds the broadcast.
     """
     marks = blocked.select("fecha", F.lit(True).alias("_llena"))
-    taken = F.coalesce(F.col("_llena"), F.lit(False)) & ~F.col("fecha").eqNullSafe(F.col("fecha_propia"))
+    taken = F.coalesce(F.col("_llena"), F.lit(False))
+    if "fecha_propia" in requests.columns:
+        taken = taken & ~F.col("fecha").eqNullSafe(F.col("fecha_propia"))
     return requests.join(F.broadcast(marks), "fecha", "left").withColumn("bloqueada", taken).drop("_llena")
 
 

@@ -88,6 +88,15 @@ def typed_patch(changes: DataFrame, *, field: str = "campo", value: str = "valor
 # ---------------------------------------------------------------------- apply
 
 
+def _stored(field: T.StructField) -> str:
+    """The change to a field as its type; a text that does not fit is an error, never a null."""
+    value = f"_cambios['{field.name}']"
+    if isinstance(field.dataType, T.StringType):
+        return value
+    typed = f"try_cast({value} AS {field.dataType.simpleString()})"
+    return f"IF({value} IS NOT NULL AND {typed} IS NULL, raise_error('a value does not fit {field.name}'), {typed})"
+
+
 def apply_changes(visits: DataFrame, changes: DataFrame) -> DataFrame:
     """Snapshot after patches and deletes. A deleted visit stays deleted whatever else was sent for it.
 
@@ -105,8 +114,7 @@ def apply_changes(visits: DataFrame, changes: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("_campo", "_ultimo.valor"))).alias("_cambios")
     )
     patched = [
-        f"CASE WHEN map_contains_key(_cambios, '{f.name}') THEN CAST(_cambios['{f.name}'] AS {f.dataType.simpleString()})"
-        f" ELSE {f.name} END AS {f.name}"
+        f"CASE WHEN map_contains_key(_cambios, '{f.name}') THEN {_stored(f)} ELSE {f.name} END AS {f.name}"
         if f.name in PATCHABLE
         else f.name
         for f in visits.schema.fields

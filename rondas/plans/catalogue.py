@@ -6,6 +6,7 @@ users, are derived here from whole tables by plain rules.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,9 @@ from rondas.operators import attendance as A
 from rondas.operators import availability, calendar, changes, lookups, reports
 from rondas.operators import visits as V
 from rondas.plans import editing, screens
+from rondas.sources import sinks, tables
 from rondas.sources import star_schema as X
+from rondas.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,24 +48,20 @@ def _tables(spark: SparkSession, d: str) -> screens.Tables:
 # -------------------------------------------------- inputs derived from tables
 
 
-def _forms(spark: SparkSession, d: str) -> DataFrame:
+def _forms(visits: DataFrame) -> DataFrame:
     """A submitted form per visit: moved, confirmed, cleared, annotated or untouched by priority."""
-    priority = F.col("observaciones")
-    form = changes.transport_encode(X.visits(spark, d))
-    moved = F.date_format(F.date_add(F.to_date("fecha"), 7), "yyyy-MM-dd")
-    return form.select(
-        "programada_id",
-        *[F.col(f).alias(f) for f in S.FORM_FIELDS if f not in ("fecha", "estatus", "hora_ini", "observaciones")],
-        F.when(priority == "1-URGENT", moved).otherwise(F.col("fecha")).alias("fecha"),
-        F.when(priority == "2-HIGH", S.CONFIRMED).otherwise(F.col("estatus")).alias("estatus"),
-        F.when(priority == "3-MEDIUM", F.lit("")).otherwise(F.col("hora_ini")).alias("hora_ini"),
-        F.when(priority == "5-LOW", F.lit("Urgente")).otherwise(priority).alias("observaciones"),
-    )
+    edited = {
+        "fecha": "CAST(IF(observaciones = '1-URGENT', date_add(fecha, 7), fecha) AS STRING) AS fecha",
+        "estatus": f"IF(observaciones = '2-HIGH', '{S.CONFIRMED}', estatus) AS estatus",
+        "hora_ini": "IF(observaciones = '3-MEDIUM', '', hora_ini) AS hora_ini",
+        "observaciones": "IF(observaciones = '5-LOW', 'Urgente', observaciones) AS observaciones",
+    }
+    return visits.selectExpr("programada_id", *[edited.get(f, f) for f in S.FORM_FIELDS])
 
 
-def _field_changes(spark: SparkSession, d: str) -> DataFrame:
+def _field_changes(visits: DataFrame) -> DataFrame:
     """Field differences of the forms as a change table, and the deletion of late suspended visits."""
-    differences = changes.changed_fields(X.visits(spark, d), _forms(spark, d)).select(
+    differences = changes.changed_fields(visits, _forms(visits)).select(
         F.col("programada_id").alias("seq"),
         "programada_id",
         F.lit(changes.PATCH).alias("accion"),
@@ -70,16 +69,12 @@ def _field_changes(spark: SparkSession, d: str) -> DataFrame:
         F.col("nuevo").alias("valor"),
     )
     gone = (F.col("estatus") == S.SUSPENDED) & (F.col("fecha") < F.lit(X.AS_OF))
-    deleted = (
-        X.visits(spark, d)
-        .filter(gone)
-        .select(
-            F.col("programada_id").alias("seq"),
-            "programada_id",
-            F.lit(changes.DELETE).alias("accion"),
-            F.lit(None).cast("string").alias("campo"),
-            F.lit(None).cast("string").alias("valor"),
-        )
+    deleted = visits.filter(gone).select(
+        F.col("programada_id").alias("seq"),
+        "programada_id",
+        F.lit(changes.DELETE).alias("accion"),
+        F.lit(None).cast("string").alias("campo"),
+        F.lit(None).cast("string").alias("valor"),
     )
     return differences.unionByName(deleted)
 
@@ -102,24 +97,20 @@ def _raw_changes(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "orders").select(key.alias("programada_id"), F.inline(lines))
 
 
-def _closings(spark: SparkSession, d: str) -> DataFrame:
+def _closings(visits: DataFrame) -> DataFrame:
     """Each past visit is closed some days after its date, according to its priority."""
     outcome = F.when(F.col("observaciones") == "1-URGENT", S.SUSPENDED).otherwise(S.DONE)
-    return (
-        X.visits(spark, d)
-        .filter(F.col("fecha") < F.lit(X.AS_OF))
-        .select(
-            F.col("programada_id").alias("seq"),
-            "programada_id",
-            outcome.alias("estatus"),
-            F.date_add("fecha", (F.col("programada_id") % 5).cast("int")).alias("hoy"),
-        )
+    return visits.filter(F.col("fecha") < F.lit(X.AS_OF)).select(
+        F.col("programada_id").alias("seq"),
+        "programada_id",
+        outcome.alias("estatus"),
+        F.date_add("fecha", (F.col("programada_id") % 5).cast("int")).alias("hoy"),
     )
 
 
-def _answers(spark: SparkSession, d: str) -> DataFrame:
-    """Every open answer of a returned or accepted line becomes a yes or a no."""
-    rows = X.attendance(spark, d).filter(F.col("asiste") == S.ANSWER_OPEN)
+def _answers(attendance: DataFrame) -> DataFrame:
+    """Every open answer becomes a yes or a no."""
+    rows = attendance.filter(F.col("asiste") == S.ANSWER_OPEN)
     answer = ((F.col("programada_id") + F.col("codigo")) % 2).cast("int")
     return rows.select(
         F.col("programada_id").alias("seq"), "programada_id", "codigo", answer.alias("asiste"), answer.alias("invitacion")
@@ -141,18 +132,17 @@ def _new_requests(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _guard_input(spark: SparkSession, d: str) -> DataFrame:
+def _guard_input(visits: DataFrame, new: DataFrame) -> DataFrame:
     """New visits and moves in one queue; every third is a move from the visit's own date."""
-    own = X.visits(spark, d).select(F.col("programada_id").alias("seq"), F.col("fecha").alias("_propia"))
-    new = _new_requests(spark, d)
+    own = visits.select(F.col("programada_id").alias("seq"), F.col("fecha").alias("_propia"))
     return new.join(own, "seq", "left").select(
         *new.columns, F.when(F.col("seq") % 3 == 0, F.col("_propia")).alias("fecha_propia")
     )
 
 
-def _moves(spark: SparkSession, d: str) -> DataFrame:
+def _moves(visits: DataFrame) -> DataFrame:
     """Every visit asks for a date up to two days later than its own."""
-    return X.visits(spark, d).select(
+    return visits.select(
         "programada_id",
         F.date_add("fecha", (F.col("programada_id") % 3).cast("int")).alias("fecha"),
         F.col("fecha").alias("fecha_propia"),
@@ -282,11 +272,13 @@ def blocked_dates(spark, d):
 
 
 def date_availability(spark, d):
-    return availability.date_availability(_moves(spark, d), blocked_dates(spark, d))
+    visits = X.visits(spark, d)
+    return availability.date_availability(_moves(visits), availability.blocked_dates(visits, X.CAPACITY))
 
 
 def guarded_insert(spark, d):
-    return availability.guard_requests(X.visits(spark, d), _guard_input(spark, d), X.CAPACITY)
+    visits = X.visits(spark, d)
+    return availability.guard_requests(visits, _guard_input(visits, _new_requests(spark, d)), X.CAPACITY)
 
 
 def school_enrichment(spark, d):
@@ -344,7 +336,8 @@ def edit_flags(spark, d):
 
 
 def changed_fields(spark, d):
-    return changes.changed_fields(X.visits(spark, d), _forms(spark, d))
+    visits = X.visits(spark, d)
+    return changes.changed_fields(visits, _forms(visits))
 
 
 def typed_patch(spark, d):
@@ -352,7 +345,8 @@ def typed_patch(spark, d):
 
 
 def apply_changes(spark, d):
-    return changes.apply_changes(X.visits(spark, d), _field_changes(spark, d))
+    visits = X.visits(spark, d)
+    return changes.apply_changes(visits, _field_changes(visits))
 
 
 def apply_inserts(spark, d):
@@ -360,8 +354,9 @@ def apply_inserts(spark, d):
 
 
 def submit_forms(spark, d):
-    forms = _forms(spark, d).withColumn("seq", F.col("programada_id"))
-    return editing.submit_forms(X.visits(spark, d), forms, X.CAPACITY).snapshot
+    visits = X.visits(spark, d)
+    forms = _forms(visits).withColumn("seq", F.col("programada_id"))
+    return editing.submit_forms(visits, forms, X.CAPACITY).snapshot
 
 
 def add_visits(spark, d):
@@ -373,15 +368,18 @@ def add_visits(spark, d):
 
 
 def close_visits(spark, d):
-    return changes.close_visits(X.visits(spark, d), _closings(spark, d), X.holidays(spark, d))
+    visits = X.visits(spark, d)
+    return changes.close_visits(visits, _closings(visits), X.holidays(spark, d))
 
 
 def answer_invitation(spark, d):
-    return changes.answer_invitation(X.attendance(spark, d), _answers(spark, d).drop("invitacion"))
+    attendance = X.attendance(spark, d)
+    return changes.answer_invitation(attendance, _answers(attendance).drop("invitacion"))
 
 
 def flag_invitation(spark, d):
-    return changes.flag_invitation(X.attendance(spark, d), _answers(spark, d).drop("asiste"))
+    attendance = X.attendance(spark, d)
+    return changes.flag_invitation(attendance, _answers(attendance).drop("asiste"))
 
 
 def transport_encode(spark, d):
@@ -392,6 +390,31 @@ def transport_decode(spark, d):
     return changes.transport_decode(changes.transport_encode(X.visits(spark, d)))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def export_file(spark, d):
+    """The public export written as CSV by month and read back."""
+    sheet = reports.export_public(X.visits(spark, d))
+    path = _folder(spark, "export")
+    sinks.write_export(sheet, path, by_month_of="Fecha")
+    return sinks.read_export(spark, path, sheet.schema)
+
+
+def page_store(spark, d):
+    """The attendance table written as a page's row store and read back."""
+    rows = X.attendance(spark, d)
+    path = _folder(spark, "store")
+    sinks.write_store(rows, path)
+    return sinks.read_store(spark, path, S.ATTENDANCE_SCHEMA)
+
+
+def snapshot_file(spark, d):
+    """The visit table written as a snapshot and read with its declared schema."""
+    return tables.read_visits(spark, sinks.write_snapshot(X.visits(spark, d), _folder(spark, "visits"), 1))
+
+
 def visit_by_id(spark, d):
     wanted = X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("programada_id"))
     return V.visits_by_id(X.visits(spark, d), wanted)
@@ -437,6 +460,7 @@ QUERIES: dict[str, Query] = {
         date_label_es, time_label, active_universities, university_options, school_options, edit_flags,
         changed_fields, typed_patch, apply_changes, apply_inserts, submit_forms, add_visits, close_visits,
         answer_invitation, flag_invitation, transport_encode, transport_decode,
+        export_file, page_store, snapshot_file,
         visit_by_id, unknown_ids, column_filter_sort, labelled_columns, small_projections,
     )
 }

@@ -20,7 +20,8 @@ def write_export(df: DataFrame, path: str, *, by_month_of: str | None = None) ->
 
 
 def read_export(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(path)
+    columns = [F.col(f"`{name}`") for name in schema.fieldNames()]
+    return spark.read.option("header", True).schema(schema).csv(path).select(*columns)
 
 
 def write_store(df: DataFrame, path: str) -> None:

@@ -98,7 +98,7 @@ def test_apply_last_patch_wins_and_deletes_stay(spark):
 
 def test_apply_refuses_a_value_in_the_wrong_form(spark):
     df = X.visits(spark, X.visit(1, "2026-07-01"))
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+    with pytest.raises(Exception, match="a value does not fit fecha"):
         C.apply_changes(df, patches(spark, (1, 1, "patch", "fecha", "mañana"))).collect()
 
 
