@@ -10,10 +10,11 @@
   FROM requests r LEFT JOIN used ON used.fecha = r.fecha
   WHERE coalesce(rbd, 0) <> 0
 )
+-- On insert zero and empty inputs count as missing, a commune 0 as well.
 SELECT * FROM visits
 UNION ALL BY NAME
 SELECT (SELECT max(programada_id) FROM visits) + row_number() OVER (ORDER BY seq) AS programada_id,
        CAST(seq % 2 + 1 AS INTEGER) AS organizador_id, universidad AS organizador, fecha, rbd, nombre,
-       cod_com AS comuna_id, estatus, DATE '2001-12-31' AS fecha_lim
+       nullif(cod_com, 0) AS comuna_id, estatus, DATE '2001-12-31' AS fecha_lim
 FROM counted LEFT JOIN schools USING (rbd) LEFT JOIN universities ON codigo = seq % 2 + 1
 WHERE ocupados < 4
