@@ -5,7 +5,9 @@ campo, valor): a change to null is a row with a null ``valor``, an untouched
 field has no row. Several changes to one field of one visit are settled by the
 largest ``seq``. Every function reduces its change table to one row per key with
 a map-side aggregate, so a key with very many changes costs no more than one
-with a few, and then joins the snapshot once.
+with a few, and then joins the snapshot once. That reduced table is written to
+the shared folder when the function is called; while it is small it is broadcast,
+and the snapshot then needs no shuffle.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from rondas import schema as S
 from rondas.functions.dates import as_date, blank_to_null, parse_date, parse_time
 from rondas.operators.calendar import business_day_offset
 from rondas.operators.ordinals import HOT_ROWS, number_all
+from rondas.sources.shared import BROADCAST_BYTES, broadcast_if_small
 
 PATCH, DELETE = "patch", "delete"
 PATCHABLE = (*S.FORM_FIELDS, "fecha_lim")
 
+ROW_BYTES = 100  # of a row of keys, numbers and dates, in memory
+
 
 # ------------------------------------------------------------------ transport
 
@@ -97,7 +102,7 @@ def _stored(field: T.StructField) -> str:
     return f"IF({value} IS NOT NULL AND {typed} IS NULL, raise_error('a value does not fit {field.name}'), {typed})"
 
 
-def apply_changes(visits: DataFrame, changes: DataFrame) -> DataFrame:
+def apply_changes(visits: DataFrame, changes: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Snapshot after patches and deletes. A deleted visit stays deleted whatever else was sent for it.
 
     Values must be in stored form (see ``typed_patch``); one that is not fails
@@ -113,6 +118,8 @@ def apply_changes(visits: DataFrame, changes: DataFrame) -> DataFrame:
     per_visit = latest.groupBy("programada_id").agg(
         F.map_from_entries(F.collect_list(F.struct("_campo", "_ultimo.valor"))).alias("_cambios")
     )
+    width = F.lit(ROW_BYTES) + F.octet_length(F.to_json("_cambios"))
+    per_visit = broadcast_if_small(per_visit, width, broadcast_bytes)
     patched = [
         f"CASE WHEN map_contains_key(_cambios, '{f.name}') THEN {_stored(f)} ELSE {f.name} END AS {f.name}"
         if f.name in PATCHABLE
@@ -155,7 +162,9 @@ def insert_visits(
     return visits.select(*S.VISIT_SCHEMA.fieldNames()).unionByName(new.select(*columns))
 
 
-def close_visits(visits: DataFrame, closings: DataFrame, holidays: DataFrame) -> DataFrame:
+def close_visits(
+    visits: DataFrame, closings: DataFrame, holidays: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Set the outcome of visits: (seq, programada_id, estatus, hoy), ``hoy`` being the day of the change.
 
     A closing that repeats the current status does nothing. One that changes it
@@ -170,6 +179,7 @@ def close_visits(visits: DataFrame, closings: DataFrame, holidays: DataFrame) ->
         F.max(F.struct("seq", "estatus"))["estatus"].alias("_estatus"),
         *[F.min(F.when(F.col("estatus") == s, F.col("habil"))).alias(f"_{i}") for i, s in enumerate(S.STATUSES)],
     )
+    per_visit = broadcast_if_small(per_visit, F.lit(ROW_BYTES), broadcast_bytes)
     # Closings to the status already stored leave the visit as it is.
     stored = F.coalesce(F.col("estatus"), F.lit(""))
     days = [F.when(stored != s, F.col(f"_{i}")) for i, s in enumerate(S.STATUSES)]
@@ -182,18 +192,23 @@ def close_visits(visits: DataFrame, closings: DataFrame, holidays: DataFrame) ->
     ).select(*visits.columns)
 
 
-def _set_answer(attendance: DataFrame, answers: DataFrame, column: str) -> DataFrame:
+def _set_answer(attendance: DataFrame, answers: DataFrame, column: str, broadcast_bytes: int) -> DataFrame:
     key = ["programada_id", "codigo"]
     latest = answers.groupBy(*key).agg(F.max(F.struct("seq", F.col(column).alias("_valor"))).alias("_nuevo"))
+    latest = broadcast_if_small(latest, F.lit(ROW_BYTES), broadcast_bytes)
     value = F.when(F.col("_nuevo").isNotNull(), F.col("_nuevo._valor")).otherwise(F.col(column))
     return attendance.join(latest, key, "left").withColumn(column, value).select(*attendance.columns)
 
 
-def answer_invitation(attendance: DataFrame, answers: DataFrame) -> DataFrame:
+def answer_invitation(
+    attendance: DataFrame, answers: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Set ``asiste`` of (visit, university) pairs: rows (seq, programada_id, codigo, asiste)."""
-    return _set_answer(attendance, answers, "asiste")
+    return _set_answer(attendance, answers, "asiste", broadcast_bytes)
 
 
-def flag_invitation(attendance: DataFrame, flags: DataFrame) -> DataFrame:
+def flag_invitation(
+    attendance: DataFrame, flags: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Set ``invitacion`` of (visit, university) pairs: rows (seq, programada_id, codigo, invitacion)."""
-    return _set_answer(attendance, flags, "invitacion")
+    return _set_answer(attendance, flags, "invitacion", broadcast_bytes)

@@ -43,7 +43,8 @@ def with_ordinal(
     group and are left out; nulls in ``spread`` and ``order`` come first.
     The counts are computed (and kept in the shared folder) when this is called.
     """
-    rows = rows.dropna(subset=keys)
+    for key in keys:
+        rows = rows.filter(F.col(key).isNotNull())
     cell = [*keys, spread] if spread else list(keys)
     counts = cut_lineage(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")))
     hot = F.col("_n") > hot_rows

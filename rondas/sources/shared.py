@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 128 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +33,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there from now on."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, width: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Write ``df`` out, add up its size (``width`` bytes per row) and hint a broadcast if it is within ``limit``.
+
+    A small batch then meets a large snapshot without moving the snapshot; a
+    large batch is joined by a shuffle on the key.
+    """
+    kept = cut_lineage(df)
+    size = kept.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(kept) if size <= limit else kept

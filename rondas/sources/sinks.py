@@ -42,3 +42,12 @@ def write_snapshot(df: DataFrame, base: str, version: int) -> str:
 
 def read_snapshot(spark: SparkSession, base: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{base}/version={version}")
+
+
+def save_bucketed(df: DataFrame, table: str, buckets: int, key: str = "programada_id") -> None:
+    """Save a table bucketed by visit: joins of visits with attendance then read matching buckets, unshuffled.
+
+    Both tables need the same number of buckets. Rows are gathered by key first,
+    so each bucket is one file and not one per task.
+    """
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("errorifexists").saveAsTable(table)

@@ -8,9 +8,11 @@ import pytest
 
 import __spark_entry__ as contract
 import fixtures as X
+from rondas import schema as S
 from rondas.operators import attendance as A
-from rondas.operators import availability
+from rondas.operators import availability, changes, lookups
 from rondas.operators import visits as V
+from rondas.sources import sinks
 from rondas.sources import star_schema as star
 
 
@@ -21,6 +23,16 @@ def plan(df):
     return out.getvalue()
 
 
+@contextlib.contextmanager
+def conf(spark, name, value):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_no_cross_join_and_no_python(spark, sf_dir, name):
     text = plan(contract.queries()[name](spark, sf_dir))
@@ -67,13 +79,53 @@ def test_month_with_years_reaches_the_reader(spark, tmp_path):
     assert schema == "struct<organizador_id:int,fecha:date,estatus:string,fecha_lim:date>"
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    sinks.save_bucketed(X.edge_visits(spark), "visitas", 4)
+    sinks.save_bucketed(X.edge_attendance(spark), "asistencia", 4)
+    visits, attendance = spark.table("visitas"), spark.table("asistencia")
+    with conf(spark, "spark.sql.autoBroadcastJoinThreshold", -1):
+        text = plan(attendance.join(visits, "programada_id"))
+        matrix = plan(A.attendance_matrix(attendance, X.UNIVERSITIES).join(visits, "programada_id"))
+        counts = A.open_invitation_count(attendance, visits, X.AS_OF)
+        assert "Exchange" not in text and "Exchange" not in matrix
+        assert X.rows(counts) == [(1, 2), (2, 1), (26, 1)]
+
+
+def test_small_batches_leave_the_snapshot_unshuffled(spark, tmp_path):
+    X.edge_visits(spark).write.parquet(f"{tmp_path}/v")
+    stored = spark.read.parquet(f"{tmp_path}/v")
+    batch = spark.createDataFrame([(1, 1, "patch", "direccion", "x")], S.CHANGE_SCHEMA)
+    with conf(spark, "spark.sql.autoBroadcastJoinThreshold", -1):
+        small = changes.apply_changes(stored, batch)
+        large = changes.apply_changes(stored, batch, broadcast_bytes=0)
+        assert "BroadcastHashJoin" in plan(small) and "SortMergeJoin" not in plan(small)
+        assert "SortMergeJoin" in plan(large)
+        assert X.rows(small) == X.rows(large)
+
+
+def test_hot_school_is_split(spark):
+    """A third of the rows ask for one school: the sort-merge join splits that partition at run time."""
+    asked = spark.range(0, 60_000, 1, 8).selectExpr("id", "IF(id % 3 = 0, 1, id % 500) AS rbd")
+    schools = spark.range(500).selectExpr("id AS rbd", "concat('Liceo ', id) AS nombre", "CAST(id % 20 AS INT) AS cod_com")
+    communes = spark.range(20).selectExpr("CAST(id AS INT) AS comuna_id", "concat('C', id) AS comuna")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": -1,
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": -1,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": 2,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    with contextlib.ExitStack() as stack:
+        for name, value in settings.items():
+            stack.enter_context(conf(spark, name, value))
+        df = lookups.school_enrichment(asked, schools, communes)
+        assert df.filter("comuna IS NULL").count() == 0
+        df.collect()
+        assert "skew=true" in plan(df)
+
+
 def test_small_dimension_is_broadcast_and_large_one_is_not(spark, sf_dir):
-    name = "spark.sql.autoBroadcastJoinThreshold"
     query = contract.queries()["school_enrichment"]
     assert plan(query(spark, sf_dir)).count("BroadcastHashJoin") >= 2
-    before = spark.conf.get(name)
-    try:
-        spark.conf.set(name, 1)
+    with conf(spark, "spark.sql.autoBroadcastJoinThreshold", 1):
         assert "SortMergeJoin" in plan(query(spark, sf_dir))
-    finally:
-        spark.conf.set(name, before)
