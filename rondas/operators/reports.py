@@ -64,16 +64,14 @@ def visit_report(
     """
     columns = ["programada_id", "seccion", "posicion", "etiqueta", "valor"]
     shown = attendance if user != S.PUBLIC_USER else attendance.filter(F.col("asiste") == S.ANSWER_YES)
-    roster = (
-        attendance_roster(shown, universities)
-        .join(visits.select("programada_id"), "programada_id", "left_semi")
-        .select(
-            "programada_id",
-            F.col("titulo").alias("seccion"),
-            F.col("n").alias("posicion"),
-            F.lit(None).cast("string").alias("etiqueta"),
-            F.concat(F.col("n").cast("string"), F.lit(") "), "universidad").alias("valor"),
-        )
+    # Joined before the lists are made: both then use one shuffle by visit.
+    shown = shown.join(visits.select("programada_id"), "programada_id", "left_semi")
+    roster = attendance_roster(shown, universities).select(
+        "programada_id",
+        F.col("titulo").alias("seccion"),
+        F.col("n").alias("posicion"),
+        F.lit(None).cast("string").alias("etiqueta"),
+        F.concat(F.col("n").cast("string"), F.lit(") "), "universidad").alias("valor"),
     )
     lines = _item_lines()
     fields = [*S.REPORT_ITEMS]

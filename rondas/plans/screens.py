@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rondas import schema as S
 from rondas.operators import attendance as A
-from rondas.operators import availability, lookups
+from rondas.operators import availability
 from rondas.operators import visits as V
 
 
@@ -35,7 +36,7 @@ class Season:
 def advisory(tables: Tables, season: Season) -> DataFrame:
     """Open invitations and overdue confirmations per university."""
     return A.advisory_counts(
-        lookups.users(tables.universities).filter(F.col("codigo") != 0),
+        tables.universities.filter(F.col("codigo") != S.PUBLIC_USER),
         A.open_invitation_count(tables.attendance, tables.visits, season.as_of),
         V.pending_confirmation_count(tables.visits, season.as_of, season.limit),
     )
