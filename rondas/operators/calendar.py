@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rondas import schema as S
 from rondas.functions.dates import in_month, short_month_label
 from rondas.operators.ordinals import HOT_ROWS, with_ordinal
+from rondas.sources.shared import cut_lineage
 
 
 def business_day_offset(days: DataFrame, holidays: DataFrame, offset: int, *, column: str = "fecha") -> DataFrame:
@@ -20,7 +21,7 @@ def business_day_offset(days: DataFrame, holidays: DataFrame, offset: int, *, co
     Day 0 is the date itself unless it is a holiday. Null when the window holds
     too few business days. Returns one row per distinct date.
     """
-    starts = days.select(F.col(column).alias("fecha")).dropna().distinct()
+    starts = days.select(F.col(column).alias("fecha")).filter(F.col("fecha").isNotNull()).distinct()
     window = F.sequence("fecha", F.date_add("fecha", S.BUSINESS_DAY_WINDOW - 1))
     closed = holidays.select(F.col("fecha").alias("_dia"))
     open_days = (
@@ -60,7 +61,7 @@ def _cell(day: Column) -> tuple[Column, Column]:
 
 def calendar_index(months: DataFrame, *, column: str = "mes") -> DataFrame:
     """Page position of every Monday-to-Friday day of each month; ``column`` holds any date of the month."""
-    firsts = months.select(F.trunc(column, "MM").alias("mes")).dropna().distinct()
+    firsts = months.filter(F.col(column).isNotNull()).select(F.trunc(column, "MM").alias("mes")).distinct()
     days = firsts.select("mes", F.explode(F.sequence("mes", F.last_day("mes"))).alias("fecha"))
     row, weekday = _cell(F.col("fecha"))
     return days.filter(F.weekday("fecha") < 5).select("mes", "fecha", row.alias("fila"), weekday.alias("columna"))
@@ -97,13 +98,15 @@ def calendar_day_events(visits: DataFrame, month: int = 0, *, hot_rows: int = HO
 
 def calendar_grid(visits: DataFrame, month: int = 0, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each month's page: a row per event in its cell, and a row without event for an empty day."""
-    rows = _events(visits, month).dropna(subset=["fecha"])
-    index = calendar_index(rows.select(F.col("fecha").alias("mes")))
+    rows = _events(visits, month).filter(F.col("fecha").isNotNull())
+    # A few hundred dates, read several times below.
+    dates = cut_lineage(rows.select("fecha").distinct())
+    index = calendar_index(dates, column="fecha")
     events = with_ordinal(rows, ["fecha"], ["_orden", "programada_id"], name="n", hot_rows=hot_rows)
     # The index has one row per calendar day at most, so it fits every executor;
     # the events are then placed without a shuffle and a crowded day stays split.
     placed = events.join(F.broadcast(index), "fecha").select("mes", "fecha", "fila", "columna", "n", "nombre")
-    empty = index.join(rows.select("fecha").distinct(), "fecha", "left_anti").select(
+    empty = index.join(F.broadcast(dates), "fecha", "left_anti").select(
         "mes", "fecha", "fila", "columna", F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("nombre")
     )
     return placed.unionByName(empty)

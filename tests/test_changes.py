@@ -96,6 +96,35 @@ def test_apply_last_patch_wins_and_deletes_stay(spark):
     assert C.apply_changes(df, batch).schema == df.schema
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, 1_000_000])
+def test_apply_equals_one_by_one(spark, broadcast_bytes):
+    rng = random.Random(11)
+    texts = ["direccion", "contacto", "observaciones"]
+    stored = {i: {t: rng.choice([None, "a", "b"]) for t in texts} | {"comuna_id": rng.choice([None, 7])} for i in range(40)}
+    df = X.visits(spark, *[X.visit(i, "2026-07-01", **values) for i, values in stored.items()])
+    batch, seq = [], 0
+    for _ in range(400):
+        # One visit gets a third of all changes.
+        key, seq = (5 if rng.random() < 1 / 3 else rng.randrange(45)), seq + 1
+        if rng.random() < 0.02 and key != 5:
+            batch.append((seq, key, "delete", None, None))
+        else:
+            field = rng.choice([*texts, "comuna_id"])
+            batch.append((seq, key, "patch", field, rng.choice([None, "8", "9"])))
+    expected = {i: dict(values) for i, values in stored.items()}
+    for _, key, action, field, value in batch:
+        if key not in expected:
+            continue
+        if action == "delete":
+            del expected[key]
+        else:
+            expected[key][field] = int(value) if field == "comuna_id" and value else value
+    rng.shuffle(batch)
+    after = C.apply_changes(df, patches(spark, *batch), broadcast_bytes=broadcast_bytes)
+    got = {r.programada_id: {t: r[t] for t in [*texts, "comuna_id"]} for r in after.collect()}
+    assert got == expected and len(got) < len(stored)
+
+
 def test_apply_refuses_a_value_in_the_wrong_form(spark):
     df = X.visits(spark, X.visit(1, "2026-07-01"))
     with pytest.raises(Exception, match="a value does not fit fecha"):
