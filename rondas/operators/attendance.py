@@ -13,6 +13,7 @@ from rondas.functions.checks import fail_when
 from rondas.operators.lookups import with_commune, with_university
 from rondas.operators.ordinals import HOT_ROWS, with_ordinal
 from rondas.operators.visits import upcoming_active
+from rondas.sources.shared import write_out
 
 
 def invitations(
@@ -35,8 +36,9 @@ def invitations(
     planned = upcoming_active(visits, as_of).select(
         "programada_id", F.col("orden").alias("_orden"), "fecha", "rbd", "nombre", "direccion", "comuna_id"
     )
+    # Numbering passes over its rows twice; written out, the join runs once.
     numbered = with_ordinal(
-        asked.join(planned, "programada_id"),
+        write_out(asked.join(planned, "programada_id")),
         ["codigo", "asiste"],
         ["_orden", "programada_id"],
         spread="fecha",

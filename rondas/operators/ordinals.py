@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rondas.sources.shared import cut_lineage
+from rondas.sources.shared import cut_lineage, write_out
 
 HOT_ROWS = 2_000_000
 MAX_BROADCAST_CELLS = 1_000_000
@@ -97,7 +97,7 @@ def _number_by_range(rows: DataFrame, cell: list[str], order: list[str], parts:
     """Sort the rows over range partitions; position = rows before in earlier partitions + place in this one."""
     keys = [*cell, *order]
     # Written before use: both reads below must see the same partition bounds.
-    placed = cut_lineage(
+    placed = write_out(
         rows.repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_out(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read that.
+
+    For large intermediate results: compressed, and a later pass over a few
+    columns reads only those. Small ones are cheaper through ``cut_lineage``.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, width: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Write ``df`` out, add up its size (``width`` bytes per row) and hint a broadcast if it is within ``limit``.
 
