@@ -16,6 +16,7 @@ TYPES = {
     "string": "VARCHAR",
     "date": "DATE",
     "boolean": "BOOLEAN",
+    "double": "DOUBLE",
 }
 
 
