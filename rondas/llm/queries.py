@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rondas.llm import repetition
+from rondas.llm import bpe, repetition
 from rondas.llm.sql import ORACLES
 from rondas.llm.tables import read
 
@@ -17,6 +19,18 @@ def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(read(spark, sf_dir, "documents"))
 
 
+def op10_byte_pair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = bpe.definition(public_tokenizers.path("word_bpe_49k.json"))
+    encoded = bpe.encode(read(spark, sf_dir, "documents"), tokenizer, columns=["doc_id"])
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repetition_rules": op3_repetition_rules,
+    "op10_byte_pair_tokens": op10_byte_pair_tokens,
 }
