@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rondas.llm import bpe, repetition
+from rondas.llm import bpe, recompression, repetition
 from rondas.llm.sql import ORACLES
 from rondas.llm.tables import read
 
@@ -19,7 +18,16 @@ def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(read(spark, sf_dir, "documents"))
 
 
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = recompression.remove_repeats(read(spark, sf_dir, "documents"), columns=["doc_id"])
+    return cut.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op10_byte_pair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     tokenizer = bpe.definition(public_tokenizers.path("word_bpe_49k.json"))
     encoded = bpe.encode(read(spark, sf_dir, "documents"), tokenizer, columns=["doc_id"])
     return encoded.select(
@@ -32,5 +40,6 @@ def op10_byte_pair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repetition_rules": op3_repetition_rules,
+    "op9_recompression": op9_recompression,
     "op10_byte_pair_tokens": op10_byte_pair_tokens,
 }

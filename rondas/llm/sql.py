@@ -51,6 +51,25 @@ def repetition_rules() -> str:
     FROM counted"""
 
 
+def repeats_removed(window: int = 35) -> str:
+    return rf"""
+    WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS ws, len({WORDS}) AS n_words FROM documents),
+    windows AS (
+        SELECT r, unnest(range(1, n_words - {window} + 2)) AS i,
+               unnest(list_transform(range(1, n_words - {window} + 2),
+                      lambda x: md5(array_to_string(ws[x:x + {window - 1}], ' ')))) AS g
+        FROM texts WHERE n_words >= {window}),
+    twice AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT r, unnest(range(i, i + {window})) AS j FROM windows SEMI JOIN twice USING (g)),
+    kept AS (
+        SELECT r, string_agg(w, ' ' ORDER BY j) AS text, count(*) AS n
+        FROM (SELECT r, unnest(range(1, n_words + 1)) AS j, unnest(ws) AS w FROM texts) ANTI JOIN gone USING (r, j)
+        GROUP BY r)
+    SELECT doc_id, n_words, (n_words - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+    FROM texts LEFT JOIN kept USING (r)"""
+
+
 ORACLES: dict[str, str] = {
     "op3_repetition_rules": repetition_rules(),
+    "op9_recompression": repeats_removed(),
 }
