@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rondas.llm import bpe, recompression, repetition
+from rondas.llm import bpe, partenum, recompression, repetition
 from rondas.llm.sql import ORACLES
 from rondas.llm.tables import read
 
@@ -18,6 +18,10 @@ def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(read(spark, sf_dir, "documents"))
 
 
+def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = recompression.remove_repeats(read(spark, sf_dir, "documents"), columns=["doc_id"])
     return cut.select(
@@ -40,6 +44,7 @@ def op10_byte_pair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repetition_rules": op3_repetition_rules,
+    "op5_partenum_join": op5_partenum_join,
     "op9_recompression": op9_recompression,
     "op10_byte_pair_tokens": op10_byte_pair_tokens,
 }

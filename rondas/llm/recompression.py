@@ -34,7 +34,7 @@ from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from rondas.llm import words as W
-from rondas.llm.tables import map_batches
+from rondas.llm.tables import identity, map_batches
 
 WINDOW = 35
 #: Rounds in order: what is joined, and the longest symbol (in words) that takes part.
@@ -212,7 +212,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 )
 
     schema = "key bigint, rid bigint, tag bigint, start int, hashes binary, mask bigint"
-    found = map_batches(docs.select(*_identity(), "text"), rows, schema)
+    found = map_batches(docs.select(*identity(), "text"), rows, schema)
     # A null key (settled in its batch) passes through the same shuffle, spread by its text.
     spread = F.coalesce("key", F.xxhash64("rid", "start"))
     shared = F.count(F.lit(1)).over(Over.partitionBy("slot")) > 1
@@ -235,14 +235,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def _identity() -> list:
-    """Two numbers that tell a row by its id and text."""
-    return [
-        F.coalesce("doc_id", F.xxhash64("text")).cast("long").alias("rid"),
-        F.coalesce(F.crc32("text"), F.lit(-1)).cast("long").alias("tag"),
-    ]
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, *, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all but ``text``), then ``n_words``, ``n_removed``, ``kept_text`` (words, one blank between)."""
     columns = [c for c in docs.columns if c != "text"] if columns is None else columns
@@ -252,7 +244,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, columns: list[str]
         .agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
     )
     source = docs.select(
-        *_identity(), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").alias("t")
+        *identity(), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").alias("t")
     )
     joined = source.join(marks, ["rid", "tag"], "left").drop("rid", "tag")
 

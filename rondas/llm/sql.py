@@ -51,6 +51,31 @@ def repetition_rules() -> str:
     FROM counted"""
 
 
+def near_duplicates(n: int = 3, percent: int = 90) -> str:
+    return rf"""
+    WITH RECURSIVE texts AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^ 	-]+') AS ws
+        FROM documents),
+    sets AS (
+        SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {n} THEN [array_to_string(ws, ' ')]
+               ELSE list_distinct(list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) END AS grams
+        FROM texts),
+    classes AS (
+        SELECT min(r) AS c, list_sort(grams) AS g, len(any_value(grams)) AS n, min(doc_id) AS least
+        FROM sets WHERE len(grams) > 0 GROUP BY list_sort(grams)),
+    elements AS (SELECT c, n, unnest(g) AS e FROM classes),
+    pairs AS (
+        SELECT a.c AS a, b.c AS b FROM elements a JOIN elements b ON a.e = b.e AND a.c < b.c
+        GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+    edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    reach AS (SELECT c AS x, c AS y FROM classes UNION SELECT x, b FROM reach JOIN edges ON y = a),
+    named AS (SELECT x AS c, min(least) AS component_id FROM reach JOIN classes ON y = c GROUP BY x)
+    SELECT doc_id, len(grams)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+    FROM sets LEFT JOIN classes ON g = list_sort(grams) LEFT JOIN named USING (c)"""
+
+
 def repeats_removed(window: int = 35) -> str:
     return rf"""
     WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS ws, len({WORDS}) AS n_words FROM documents),
@@ -71,5 +96,6 @@ def repeats_removed(window: int = 35) -> str:
 
 ORACLES: dict[str, str] = {
     "op3_repetition_rules": repetition_rules(),
+    "op5_partenum_join": near_duplicates(),
     "op9_recompression": repeats_removed(),
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts reach Python in batches of at most so many bytes (or one row).
 BATCH_BYTES = 8 << 20
@@ -16,3 +17,11 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` over batches bounded in bytes, so that long texts do not add up."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
+
+
+def identity() -> list[Column]:
+    """Two numbers, ``rid`` and ``tag``, that tell a document by its id and text (by its text where the id is null)."""
+    return [
+        F.coalesce("doc_id", F.xxhash64("text")).cast("long").alias("rid"),
+        F.coalesce(F.crc32("text"), F.lit(-1)).cast("long").alias("tag"),
+    ]
