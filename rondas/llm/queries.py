@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rondas.llm import bpe, partenum, recompression, repetition
+from rondas.llm import bpe, hosttrust, partenum, poisson, recompression, repetition
 from rondas.llm.sql import ORACLES
 from rondas.llm.tables import read
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+#: Fixed values.
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
+
+def op1_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosttrust.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(read(spark, sf_dir, "documents"))
 
@@ -22,6 +36,11 @@ def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_duplicates(read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return poisson.replicate(docs, poisson.temperature_rates(docs))
+
+
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = recompression.remove_repeats(read(spark, sf_dir, "documents"), columns=["doc_id"])
     return cut.select(
@@ -43,8 +62,10 @@ def op10_byte_pair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_host_trust": op1_host_trust,
     "op3_repetition_rules": op3_repetition_rules,
     "op5_partenum_join": op5_partenum_join,
+    "op8_poisson_mix": op8_poisson_mix,
     "op9_recompression": op9_recompression,
     "op10_byte_pair_tokens": op10_byte_pair_tokens,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from rondas.llm import hosttrust as H
+from rondas.llm import poisson as P
 from rondas.llm import repetition as R
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -51,12 +53,93 @@ def repetition_rules() -> str:
     FROM counted"""
 
 
+def host_trust() -> str:
+    small = f"translate(%s, '{H.UPPER}', '{H.LOWER}')"
+    rules = [
+        ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
+        ("net/es/", "block"), ("net/fr/", "block"),
+    ]
+    listed = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in rules)
+    link = H.LINK.replace("'", "''")
+    steps = "".join(
+        f""",
+    flow_{i} AS (
+        SELECT kind, dst AS host, (r.rank::HUGEINT * weight // total)::BIGINT AS rank
+        FROM rank_{i - 1} r JOIN both_ways USING (kind, src)),
+    rank_{i} AS (
+        SELECT kind, host AS src, ((100 - {H.DAMPING}) * sum(seed) + {H.DAMPING} * sum(rank)) // 100 AS rank
+        FROM (SELECT kind, host, 0 AS seed, rank FROM flow_{i}
+              UNION ALL SELECT kind, src, rank, 0 FROM rank_0) GROUP BY kind, host)"""
+        for i in range(1, H.ROUNDS + 1)
+    )
+    return rf"""
+    WITH RECURSIVE rules(rule, h, p, v) AS (VALUES {listed}),
+    placed AS (
+        SELECT row_number() OVER () AS r, page_id, html, {small % f"regexp_extract(coalesce(url, ''), '{H.URL}', 1)"} AS host,
+               regexp_extract(coalesce(url, ''), '{H.URL}', 2) AS path FROM pages),
+    best AS (
+        SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS listed
+        FROM placed JOIN rules ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY r),
+    ruled AS (SELECT * FROM placed LEFT JOIN best USING (r)),
+    seeds AS (
+        SELECT host, count(*) FILTER (listed = 'allow') AS trusted, count(*) FILTER (listed = 'block') AS blocked
+        FROM ruled WHERE host <> '' GROUP BY host),
+    links AS (
+        SELECT host AS src, {small % "x"} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS x FROM placed)),
+    domains(d) AS (
+        SELECT host FROM seeds
+        UNION SELECT d[instr(d, '.') + 1:] FROM domains WHERE instr(d[instr(d, '.') + 1:], '.') > 0 AND instr(d, '.') > 0),
+    upward AS (
+        SELECT d AS src, d[instr(d, '.') + 1:] AS dst FROM domains WHERE instr(d, '.') > 0 AND instr(d[instr(d, '.') + 1:], '.') > 0),
+    edges AS (
+        SELECT src, dst, count(*) AS weight
+        FROM (SELECT src, dst FROM links WHERE src <> '' AND src <> dst
+              UNION ALL SELECT src, dst FROM upward UNION ALL SELECT dst, src FROM upward) GROUP BY src, dst),
+    ways AS (
+        SELECT 'trust' AS kind, src, dst, weight FROM edges UNION ALL SELECT 'distrust', dst, src, weight FROM edges),
+    both_ways AS (SELECT *, sum(weight) OVER (PARTITION BY kind, src) AS total FROM ways),
+    starts AS (
+        SELECT 'trust' AS kind, host AS src, trusted AS mass FROM seeds WHERE trusted > 0
+        UNION ALL SELECT 'distrust', host, blocked FROM seeds WHERE blocked > 0),
+    rank_0 AS (
+        SELECT kind, src, (mass::HUGEINT * {H.SCALE} // sum(mass) OVER (PARTITION BY kind))::BIGINT AS rank FROM starts)
+    {steps},
+    scores AS (
+        SELECT src AS host, sum(rank) FILTER (kind = 'trust') AS trust, sum(rank) FILTER (kind = 'distrust') AS distrust
+        FROM rank_{H.ROUNDS} GROUP BY src),
+    whole AS (SELECT host, coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust FROM scores)
+    SELECT page_id, host, path, rule, coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust,
+           coalesce(listed, CASE WHEN distrust > trust AND distrust >= {H.BLOCK_FACTOR} * (
+               SELECT coalesce(sum(distrust) // greatest(count(*), 1), 0) FROM whole) THEN 'block' ELSE 'allow' END) AS verdict
+    FROM ruled LEFT JOIN whole USING (host)"""
+
+
+def poisson_mix() -> str:
+    return rf"""
+    WITH RECURSIVE sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS chars FROM documents GROUP BY source),
+    rates AS (
+        SELECT source, CASE WHEN chars > 0 THEN (SELECT sum(chars) FROM sizes) * pow(chars, {P.TEMPERATURE})
+               / (SELECT sum(pow(chars, {P.TEMPERATURE})) FROM sizes) / chars ELSE 0 END::DOUBLE AS rate FROM sizes),
+    parted AS (SELECT *, greatest(1, ceil(rate / {P.PART_RATE}))::INTEGER AS parts FROM rates),
+    terms(source, parts, part, k, p, s) AS (
+        SELECT source, parts, rate / parts, 0, exp(-rate / parts), exp(-rate / parts) FROM parted
+        UNION ALL SELECT source, parts, part, k + 1, p * part / (k + 1), s + p * part / (k + 1) FROM terms WHERE k < {P.TERMS}),
+    sums AS (SELECT source, parts, list(s) AS sums FROM terms GROUP BY source, parts),
+    drawn AS (
+        SELECT d.*, list_sum(list_transform(range(1, parts + 1), lambda j: len(list_filter(sums, lambda s: s <=
+                   ('0x' || substr(md5(concat_ws('|', '{P.SEED}', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')), j)), 1, 12))::BIGINT
+                   / {float(1 << 48)!r})))) AS copies
+        FROM documents d JOIN sums ON d.source IS NOT DISTINCT FROM sums.source)
+    SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies::BIGINT + 1))::INTEGER AS copy FROM drawn"""
+
+
 def near_duplicates(n: int = 3, percent: int = 90) -> str:
     return rf"""
     WITH RECURSIVE texts AS (
         SELECT row_number() OVER () AS r, doc_id,
                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                  '[^ 	-]+') AS ws
+                                  '[^ 	-
+]+') AS ws
         FROM documents),
     sets AS (
         SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {n} THEN [array_to_string(ws, ' ')]
@@ -95,7 +178,9 @@ def repeats_removed(window: int = 35) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op1_host_trust": host_trust(),
     "op3_repetition_rules": repetition_rules(),
     "op5_partenum_join": near_duplicates(),
+    "op8_poisson_mix": poisson_mix(),
     "op9_recompression": repeats_removed(),
 }
