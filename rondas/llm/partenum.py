@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
@@ -183,7 +184,7 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
                     [
                         *[c.slice(block.lo, block.hi - block.lo) for c in batch.columns[:3]],
                         pa.array(sets.sizes.astype(np.int64)),
-                        pa.compute.if_else(none, None, pa.array(sets.names)),
+                        pc.if_else(none, None, pa.array(sets.names)),
                         *[pa.array(np.ascontiguousarray(s)) for s in sets.sketches().T],
                     ],
                     names=["doc_id", "rid", "tag", "n_shingles", "node", *[f"s{i}" for i in range(SKETCH_LONGS)]],

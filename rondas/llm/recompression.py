@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
@@ -146,7 +147,7 @@ def _removed(texts: pa.Array, marks: pa.Array, window: int) -> tuple[np.ndarray,
         words = W.split(block)
         own = marks.slice(block.lo, block.hi - block.lo)
         flat = own.flatten()
-        of = np.repeat(np.arange(len(own)), pa.compute.list_value_length(own).fill_null(0).to_numpy())
+        of = np.repeat(np.arange(len(own)), pc.list_value_length(own).fill_null(0).to_numpy())
         start, mask = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("start", "mask"))
         row, bit = np.nonzero((mask[:, None] >> np.arange(MARK_BITS)) & 1) if len(mask) else (np.zeros(0, int),) * 2
         removed = W.covered(len(words.starts), words.first[of[row]] + start[row] + bit, window)

@@ -45,9 +45,9 @@ _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n; grown as needed, as long as the longest block so far."""
     if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]))
+        size = max(n, 2 * len(_powers[0]))
         for k, base in enumerate((BASE, INVERSE)):
-            grown = np.full(n, base, dtype=np.uint64)
+            grown = np.full(size, base, dtype=np.uint64)
             grown[0] = 1
             _powers[k] = np.multiply.accumulate(grown)
     return _powers[0][:n], _powers[1][:n]
