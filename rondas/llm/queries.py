@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rondas.llm import bpe, hosttrust, partenum, poisson, recompression, repetition
+from rondas.llm import bpe, hosttrust, licences, partenum, pivots, poisson, recompression, repetition
 from rondas.llm.sql import ORACLES
 from rondas.llm.tables import read
 
@@ -36,6 +36,14 @@ def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_duplicates(read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
+def op7_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.largest_products(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return poisson.replicate(docs, poisson.temperature_rates(docs))
@@ -65,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_trust": op1_host_trust,
     "op3_repetition_rules": op3_repetition_rules,
     "op5_partenum_join": op5_partenum_join,
+    "op6_license_scan": op6_license_scan,
+    "op7_pivot_search": op7_pivot_search,
     "op8_poisson_mix": op8_poisson_mix,
     "op9_recompression": op9_recompression,
     "op10_byte_pair_tokens": op10_byte_pair_tokens,

@@ -114,6 +114,18 @@ def host_trust() -> str:
     FROM ruled LEFT JOIN whole USING (host)"""
 
 
+def largest_products(k: int = 5) -> str:
+    return f"""
+    WITH vectors AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+        FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+    FROM scored QUALIFY rank <= {k}"""
+
+
 def poisson_mix() -> str:
     return rf"""
     WITH RECURSIVE sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS chars FROM documents GROUP BY source),
@@ -181,6 +193,7 @@ ORACLES: dict[str, str] = {
     "op1_host_trust": host_trust(),
     "op3_repetition_rules": repetition_rules(),
     "op5_partenum_join": near_duplicates(),
+    "op7_pivot_search": largest_products(),
     "op8_poisson_mix": poisson_mix(),
     "op9_recompression": repeats_removed(),
 }
