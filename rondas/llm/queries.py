@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rondas.llm import bpe, hosttrust, licences, partenum, pivots, poisson, recompression, repetition
+from rondas.llm import bpe, hosttrust, langid, licences, partenum, pivots, poisson, recompression, repetition
 from rondas.llm.sql import ORACLES
 from rondas.llm.tables import read
 
@@ -28,6 +28,10 @@ def op1_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosttrust.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(read(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ def op10_byte_pair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_trust": op1_host_trust,
+    "op2_byte_network": op2_byte_network,
     "op3_repetition_rules": op3_repetition_rules,
     "op5_partenum_join": op5_partenum_join,
     "op6_license_scan": op6_license_scan,
