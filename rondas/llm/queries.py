@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rondas.llm import bpe, hosttrust, langid, licences, partenum, pivots, poisson, recompression, repetition
+from rondas.llm import bpe, hosttrust, langid, licences, partenum, pivots, poisson, recompression, repetition, sitequality
 from rondas.llm.sql import ORACLES
 from rondas.llm.tables import read
 
@@ -36,6 +36,10 @@ def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(read(spark, sf_dir, "documents"))
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitequality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_duplicates(read(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_trust": op1_host_trust,
     "op2_byte_network": op2_byte_network,
     "op3_repetition_rules": op3_repetition_rules,
+    "op4_site_quality": op4_site_quality,
     "op5_partenum_join": op5_partenum_join,
     "op6_license_scan": op6_license_scan,
     "op7_pivot_search": op7_pivot_search,
