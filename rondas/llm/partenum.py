@@ -244,8 +244,8 @@ def _similar(sizes_a: str, sizes_b: str, differing: str, percent: int) -> str:
     return f"100 * ({sizes_a} + {sizes_b} - {differing}) >= {percent} * ({sizes_a} + {sizes_b} + {differing})"
 
 
-def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document: the least ``doc_id`` reachable by links.
+def components_of_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``document_sets``, written, and (node, least, component) for each distinct set: its least ``doc_id`` and its component.
 
     Two documents are linked when 100 * intersection >= percent * union of their sets.
     """
@@ -325,11 +325,43 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFr
     rest = write_out(named(links))
     links = links.union(verified(paired(rest, rest, "a.node < b.node AND a.component <> b.component")))
 
-    names = nodes.join(components(links), "node", "left").select(
+    return sets, nodes.join(components(links), "node", "left").select(
         "node", "least", F.coalesce("component", "node").alias("component")
     )
+
+
+def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document: the least ``doc_id`` reachable by links."""
+    sets, names = components_of_sets(docs, n, percent)
     least = names.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = names.join(least, "component").select("node", "component_id")
     return sets.join(of_node, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without near duplicates: of each component the row of least ``doc_id`` (null ones last).
+
+    Texts without words are linked with nothing and all stay.
+    """
+    columns = docs.columns
+    sets, names = components_of_sets(docs, n, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "tag"))
+    per_node = sets.filter("node IS NOT NULL").groupBy("node").agg(first.alias("first"))
+    chosen = (
+        per_node.join(names, "node").groupBy("component").agg(F.min("first").alias("first")).select("first.rid", "first.tag")
+    )
+    number = [f"d{i}" for i in range(len(columns))]
+    rows = docs.select(*identity(), *[F.col(f"`{c}`").alias(d) for c, d in zip(columns, number, strict=True)])
+    text = number[columns.index("text")]
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = Over.partitionBy("rid", "tag").orderBy(*[d for d in number if d != text])
+    kept = (
+        rows.filter(worded)
+        .join(chosen, ["rid", "tag"], "left_semi")
+        .withColumn("row", F.row_number().over(same))
+        .filter("row = 1")
+    )
+    both = kept.select(*number).unionByName(rows.filter(~worded).select(*number))
+    return both.select(*[F.col(d).alias(c) for c, d in zip(columns, number, strict=True)])

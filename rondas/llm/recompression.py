@@ -236,8 +236,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, *, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all but ``text``), then ``n_words``, ``n_removed``, ``kept_text`` (words, one blank between)."""
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, *, columns: list[str] | None = None, untouched: bool = False
+) -> DataFrame:
+    """``columns`` of ``docs`` (all but ``text``), then ``n_words``, ``n_removed``, ``kept_text`` (words, one blank between).
+
+    With ``untouched``, a text that loses nothing keeps its white space.
+    """
     columns = [c for c in docs.columns if c != "text"] if columns is None else columns
     marks = (
         repeated_windows(docs, window)
@@ -252,7 +257,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, columns: list[str]
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                n_words, n_removed, kept = _removed(batch.column(len(columns)), batch.column(len(columns) + 1), window)
+                texts = batch.column(len(columns))
+                n_words, n_removed, kept = _removed(texts, batch.column(len(columns) + 1), window)
+                if untouched:
+                    kept = pc.if_else(pa.array(n_removed == 0), texts, kept)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:-2], pa.array(n_words), pa.array(n_removed), kept],
                     names=[*batch.schema.names[:-2], "n", "gone", "kept"],
