@@ -13,8 +13,10 @@
 -- On insert zero and empty inputs count as missing, a commune 0 as well.
 SELECT * FROM visits
 UNION ALL BY NAME
-SELECT (SELECT max(programada_id) FROM visits) + row_number() OVER (ORDER BY seq) AS programada_id,
+SELECT coalesce((SELECT max(orden) FROM visits v WHERE v.fecha = counted.fecha), 0)
+         + row_number() OVER (PARTITION BY fecha ORDER BY seq) AS orden,
+       (SELECT max(programada_id) FROM visits) + row_number() OVER (ORDER BY seq) AS programada_id,
        CAST(seq % 2 + 1 AS INTEGER) AS organizador_id, universidad AS organizador, fecha, rbd, nombre,
        nullif(cod_com, 0) AS comuna_id, estatus, DATE '2001-12-31' AS fecha_lim
 FROM counted LEFT JOIN schools USING (rbd) LEFT JOIN universities ON codigo = seq % 2 + 1
-WHERE ocupados < 4
+WHERE ocupados < (SELECT places FROM season)

@@ -4,5 +4,5 @@
          rbd, nombre, organizador, estatus
   FROM visits WHERE estatus IN ('Confirmada', 'Por confirmar')
 )
-SELECT * FROM numbered WHERE nombre ILIKE '%customer#%' AND estatus ILIKE '%confirm%'
+SELECT * FROM numbered WHERE nombre ILIKE '%r#0000001%' AND estatus ILIKE '%por confirm%'
 ORDER BY organizador, estatus

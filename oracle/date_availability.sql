@@ -1,6 +1,6 @@
 , blocked AS (
   SELECT fecha FROM visits
-  WHERE estatus IN ('Confirmada', 'Por confirmar') GROUP BY fecha HAVING count(*) >= 4
+  WHERE estatus IN ('Confirmada', 'Por confirmar') GROUP BY fecha HAVING count(*) >= (SELECT places FROM season)
 ), moves AS (
   SELECT programada_id, fecha + CAST(programada_id % 3 AS INTEGER) AS fecha, fecha AS fecha_propia FROM visits
 )

@@ -1,5 +1,2 @@
-SELECT programada_id, fecha, list_value('Lunes', 'Martes', 'Miércoles', 'Jueves', 'Viernes', 'Sábado', 'Domingo')[isodow(fecha)] || ', '
-       || strftime(fecha, '%d') || ' de '
-       || list_value('Enero', 'Febrero', 'Marzo', 'Abril', 'Mayo', 'Junio', 'Julio', 'Agosto', 'Septiembre',
-                     'Octubre', 'Noviembre', 'Diciembre')[month(fecha)] || ' de ' || strftime(fecha, '%Y') AS etiqueta
+SELECT programada_id, fecha, etiqueta_fecha AS etiqueta
 FROM visits

@@ -1,3 +1,40 @@
-SELECT programada_id AS "ID", fecha AS "Fecha", rbd AS "RBD", nombre AS "Colegio",
-       organizador AS "Organizador", estatus AS "Estatus"
-FROM visits ORDER BY fecha, orden, programada_id
+, matrix AS (
+  SELECT programada_id,
+       max(CASE WHEN codigo = 0 THEN situacion END) AS NATION_0,
+       max(CASE WHEN codigo = 1 THEN situacion END) AS NATION_1,
+       max(CASE WHEN codigo = 2 THEN situacion END) AS NATION_2,
+       max(CASE WHEN codigo = 4 THEN situacion END) AS NATION_4,
+       max(CASE WHEN codigo = 6 THEN situacion END) AS NATION_6,
+       max(CASE WHEN codigo = 7 THEN situacion END) AS NATION_7,
+       max(CASE WHEN codigo = 9 THEN situacion END) AS NATION_9,
+       max(CASE WHEN codigo = 10 THEN situacion END) AS NATION_10,
+       max(CASE WHEN codigo = 11 THEN situacion END) AS NATION_11,
+       max(CASE WHEN codigo = 12 THEN situacion END) AS NATION_12,
+       max(CASE WHEN codigo = 14 THEN situacion END) AS NATION_14,
+       max(CASE WHEN codigo = 15 THEN situacion END) AS NATION_15,
+       max(CASE WHEN codigo = 16 THEN situacion END) AS NATION_16,
+       max(CASE WHEN codigo = 17 THEN situacion END) AS NATION_17,
+       max(CASE WHEN codigo = 18 THEN situacion END) AS NATION_18,
+       max(CASE WHEN codigo = 19 THEN situacion END) AS NATION_19,
+       max(CASE WHEN codigo = 20 THEN situacion END) AS NATION_20,
+       max(CASE WHEN codigo = 21 THEN situacion END) AS NATION_21,
+       max(CASE WHEN codigo = 22 THEN situacion END) AS NATION_22,
+       max(CASE WHEN codigo = 23 THEN situacion END) AS NATION_23,
+       max(CASE WHEN codigo = 24 THEN situacion END) AS NATION_24
+  FROM (SELECT programada_id, codigo,
+               CASE asiste WHEN 0 THEN 'No' WHEN 1 THEN 'Sí' WHEN 2 THEN 'No confirmada' END AS situacion
+        FROM attendance)
+  GROUP BY programada_id
+)
+SELECT programada_id AS "ID", fecha AS "Fecha", organizador AS "Organizador", nombre AS "Colegio", rbd AS "RBD",
+       direccion AS "Dirección", comuna AS "Comuna", hora_ins AS "Instalación", hora_ini AS "Inicio",
+       hora_fin AS "Término", contacto AS "Contacto", contacto_tel AS "Teléfono contacto",
+       contacto_mail AS "Correo contacto", contacto_cargo AS "Cargo contacto", orientador AS "Orientador",
+       orientador_tel AS "Teléfono orientador", orientador_mail AS "Correo orientador",
+       asistentes AS "Asistentes estimados", CASE programada_id % 5 WHEN 0 THEN '  con espacios  ' WHEN 1 THEN 'linea 1' || chr(10) || 'linea 2, "citada"'
+           WHEN 2 THEN '' WHEN 3 THEN '\ fin \' END AS "Programación de asistencia",
+       estatus AS "Estatus", CASE programada_id % 5 WHEN 0 THEN '  con espacios  ' WHEN 1 THEN 'linea 1' || chr(10) || 'linea 2, "citada"'
+           WHEN 2 THEN '' WHEN 3 THEN '\ fin \' END AS "Observaciones",
+       NATION_0, NATION_1, NATION_2, NATION_4, NATION_6, NATION_7, NATION_9, NATION_10, NATION_11, NATION_12, NATION_14, NATION_15, NATION_16, NATION_17, NATION_18, NATION_19, NATION_20, NATION_21, NATION_22, NATION_23, NATION_24
+FROM visits JOIN matrix USING (programada_id) LEFT JOIN communes USING (comuna_id)
+ORDER BY fecha, orden, programada_id

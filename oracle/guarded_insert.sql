@@ -18,5 +18,5 @@
 SELECT seq, fecha, rbd, estatus, fecha_propia,
        CASE WHEN coalesce(rbd, 0) = 0 THEN 'ignorada'
             WHEN fecha_propia = fecha THEN 'aceptada'
-            WHEN n + antes >= 4 THEN 'rechazada' ELSE 'aceptada' END AS decision
+            WHEN n + antes >= (SELECT places FROM season) THEN 'rechazada' ELSE 'aceptada' END AS decision
 FROM counted

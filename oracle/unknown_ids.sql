@@ -1,2 +1,3 @@
-SELECT DISTINCT l_partkey AS programada_id FROM lineitem
-WHERE l_partkey NOT IN (SELECT programada_id FROM visits WHERE estatus IN ('Confirmada', 'Por confirmar'))
+SELECT DISTINCT id AS programada_id
+FROM (SELECT l_partkey AS id FROM lineitem UNION ALL SELECT l_partkey * 7 - 500 FROM lineitem)
+WHERE id NOT IN (SELECT programada_id FROM visits)

@@ -1,8 +1,8 @@
 WITH visits AS (
   SELECT o_orderkey AS programada_id,
          o_orderkey % 97 AS orden,
-         CAST(o_custkey % 15 AS INTEGER) AS organizador_id,
-         'NATION_' || CAST(o_custkey % 15 AS VARCHAR) AS organizador,
+         CAST(o_custkey % 25 AS INTEGER) AS organizador_id,
+         'NATION_' || CAST(o_custkey % 25 AS VARCHAR) AS organizador,
          CAST(o_orderdate AS DATE) AS fecha,
          o_custkey AS rbd,
          c_name AS nombre,
@@ -32,14 +32,14 @@ WITH visits AS (
   FROM orders JOIN customer ON o_custkey = c_custkey
 ), attendance AS (
   SELECT l_orderkey AS programada_id,
-         CAST(l_suppkey % 15 AS INTEGER) AS codigo,
+         CAST(l_suppkey % 25 AS INTEGER) AS codigo,
          max(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 0 ELSE 2 END) AS asiste,
-         min(CASE WHEN l_suppkey % 15 = o_custkey % 15 THEN 0 ELSE 1 END) AS invitacion
+         min(CASE WHEN l_suppkey % 25 = o_custkey % 25 THEN 0 ELSE 1 END) AS invitacion
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  GROUP BY l_orderkey, l_suppkey % 15
+  GROUP BY l_orderkey, l_suppkey % 25
 ), universities AS (
   SELECT n_nationkey AS codigo, n_name AS universidad
-  FROM nation WHERE n_nationkey < 15 AND n_nationkey NOT IN (3, 5, 8, 13)
+  FROM nation WHERE n_nationkey NOT IN (3, 5, 8, 13)
 ), schools AS (
   SELECT c_custkey AS rbd, c_name AS nombre, c_nationkey AS cod_com FROM customer
 ), communes AS (
@@ -63,3 +63,17 @@ WITH visits AS (
                  ELSE 1 END AS tipo
   FROM visits
 )
+, season AS (
+  SELECT greatest(1, count(*) // 2700) AS places FROM orders
+), holidays_and_closure AS (
+  SELECT fecha FROM holidays
+  UNION SELECT DATE '1997-07-07' + CAST(i AS INTEGER) FROM generate_series(0, 20) g(i)
+)
+-- Fixed values: the names of days and months.
+, labelled AS (
+  SELECT programada_id AS etiquetada, list_value('Lunes', 'Martes', 'Miércoles', 'Jueves', 'Viernes', 'Sábado', 'Domingo')[isodow(fecha)] || ', '
+       || strftime(fecha, '%d') || ' de '
+       || list_value('Enero', 'Febrero', 'Marzo', 'Abril', 'Mayo', 'Junio', 'Julio', 'Agosto', 'Septiembre',
+                     'Octubre', 'Noviembre', 'Diciembre')[month(fecha)] || ' de ' || strftime(fecha, '%Y') AS etiqueta_fecha
+  FROM visits
+)

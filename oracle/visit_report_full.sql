@@ -1,11 +1,8 @@
 , items AS (
-  SELECT programada_id, estatus, organizador, nombre, CAST(rbd AS VARCHAR) AS rbd, list_value('Lunes', 'Martes', 'Miércoles', 'Jueves', 'Viernes', 'Sábado', 'Domingo')[isodow(fecha)] || ', '
-       || strftime(fecha, '%d') || ' de '
-       || list_value('Enero', 'Febrero', 'Marzo', 'Abril', 'Mayo', 'Junio', 'Julio', 'Agosto', 'Septiembre',
-                     'Octubre', 'Noviembre', 'Diciembre')[month(fecha)] || ' de ' || strftime(fecha, '%Y') AS fecha,
+  SELECT programada_id, estatus, organizador, nombre, CAST(rbd AS VARCHAR) AS rbd, etiqueta_fecha AS fecha,
          coalesce(direccion, '') AS direccion, comuna, s.etiqueta || ' hrs.' AS hora_ins, i.etiqueta || ' hrs.' AS hora_ini,
          f.etiqueta || ' hrs.' AS hora_fin, coalesce(orientador, '') AS orientador, coalesce(asistentes, '') AS asistentes
-  FROM visits LEFT JOIN communes USING (comuna_id) LEFT JOIN slots i ON i.hora = hora_ini
+  FROM visits JOIN labelled ON etiquetada = programada_id LEFT JOIN communes USING (comuna_id) LEFT JOIN slots i ON i.hora = hora_ini
     LEFT JOIN slots f ON f.hora = hora_fin LEFT JOIN slots s ON s.hora = hora_ins
 ), lines AS (
   SELECT programada_id, CAST(1 AS INTEGER) AS posicion, 'Estatus' AS etiqueta, estatus AS valor FROM items

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rondas import schema as S
 
-_TIME_PATTERN = r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"
+_TIME_PATTERN = r"^([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d$"
 
 
 def as_date(value: dt.date | str) -> dt.date:
@@ -71,7 +71,7 @@ def clamp_month(month: Column, first: int = 3) -> Column:
 
 
 def is_time(text: Column) -> Column:
-    """True for a valid ``HH:mm:ss``."""
+    """True for a valid time of day with seconds; leading zeros may lack."""
     return text.rlike(_TIME_PATTERN)
 
 
@@ -81,8 +81,9 @@ def parse_date(text: Column) -> Column:
 
 
 def parse_time(text: Column) -> Column:
-    """The text itself when it is a valid time of day, else null."""
-    return F.when(is_time(text), text)
+    """``HH:mm:ss`` when the text is a valid time of day, else null."""
+    parts = F.split(text, ":")
+    return F.when(is_time(text), F.concat_ws(":", *[F.lpad(F.get(parts, F.lit(i)), 2, "0") for i in range(3)]))
 
 
 def blank_to_null(text: Column) -> Column:

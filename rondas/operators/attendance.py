@@ -13,7 +13,6 @@ from rondas.functions.checks import fail_when
 from rondas.operators.lookups import with_commune, with_university
 from rondas.operators.ordinals import HOT_ROWS, with_ordinal
 from rondas.operators.visits import upcoming_active
-from rondas.sources.shared import write_out
 
 
 def invitations(
@@ -36,9 +35,9 @@ def invitations(
     planned = upcoming_active(visits, as_of).select(
         "programada_id", F.col("orden").alias("_orden"), "fecha", "rbd", "nombre", "direccion", "comuna_id"
     )
-    # Numbering passes over its rows twice; written out, the join runs once.
+    # The join runs twice, for the counts with four narrow columns only; nothing is written.
     numbered = with_ordinal(
-        write_out(asked.join(planned, "programada_id")),
+        asked.join(planned, "programada_id"),
         ["codigo", "asiste"],
         ["_orden", "programada_id"],
         spread="fecha",
@@ -91,14 +90,14 @@ def advisory_hidden(counts: DataFrame) -> DataFrame:
 
 
 def attendance_lists(attendance: DataFrame) -> DataFrame:
-    """Codes per visit and answer, ascending.
+    """Codes per visit and answer, ascending, nulls first; every row is listed, repeated ones too.
 
-    (programada_id, codigo) is the table's key, so a list is at most as long as
-    the table of universities; the set also keeps it so should keys repeat.
+    (programada_id, codigo) is the table's key, so a list is as long as the table
+    of universities, and longer only by what breaks that rule.
     """
-    codes = F.sort_array(F.collect_set("codigo"))
-    nulls = F.max(F.col("codigo").isNull())
-    listed = F.when(nulls, F.concat(F.array(F.lit(None).cast("int")), codes)).otherwise(codes)
+    codes = F.sort_array(F.collect_list("codigo"))
+    nulls = F.array_repeat(F.lit(None).cast("int"), F.count_if(F.col("codigo").isNull()).cast("int"))
+    listed = F.concat(nulls, codes)
     return attendance.groupBy("programada_id", "asiste").agg(listed.alias("codigos"))
 
 

@@ -21,10 +21,10 @@ def date_availability(requests: DataFrame, blocked: DataFrame) -> DataFrame:
     """Mark each requested ``fecha`` as blocked or not.
 
     A ``fecha_propia`` column holds the date a moved visit has itself, which is
-    never blocked for it. ``blocked`` has at most one row per calendar date,
-    which bounds the broadcast.
+    never blocked for it. A repeated date in ``blocked`` counts once, so one row per calendar
+    date bounds the broadcast.
     """
-    marks = blocked.select("fecha", F.lit(True).alias("_llena"))
+    marks = blocked.select("fecha").distinct().withColumn("_llena", F.lit(True))
     taken = F.coalesce(F.col("_llena"), F.lit(False))
     if "fecha_propia" in requests.columns:
         taken = taken & ~F.col("fecha").eqNullSafe(F.col("fecha_propia"))

@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rondas import schema as S
+from rondas.functions.checks import fail_when
 from rondas.functions.dates import in_month, short_month_label
-from rondas.operators.ordinals import HOT_ROWS, with_ordinal
-from rondas.sources.shared import cut_lineage
+from rondas.operators.ordinals import HOT_ROWS, cell_counts, with_ordinal
 
 
-def business_day_offset(days: DataFrame, holidays: DataFrame, offset: int, *, column: str = "fecha") -> DataFrame:
+def business_day_offset(
+    days: DataFrame, holidays: DataFrame, offset: int, *, column: str = "fecha", strict: bool = False
+) -> DataFrame:
     """The ``offset``-th non-holiday day in the 14 days from each date on, as ``habil``.
 
-    Day 0 is the date itself unless it is a holiday. Null when the window holds
-    too few business days. Returns one row per distinct date.
+    Day 0 is the date itself unless it is a holiday. Where the window holds
+    too few business days the day is null, or fails the query if strict. Returns one row per distinct date.
     """
     starts = days.select(F.col(column).alias("fecha")).filter(F.col("fecha").isNotNull()).distinct()
     window = F.sequence("fecha", F.date_add("fecha", S.BUSINESS_DAY_WINDOW - 1))
@@ -31,15 +33,25 @@ def business_day_offset(days: DataFrame, holidays: DataFrame, offset: int, *, co
         .agg(F.sort_array(F.collect_list("_dia")).alias("_dias"))  # at most 14 days
         .select("fecha", F.get("_dias", F.lit(offset)).alias("habil"))
     )
-    return starts.join(open_days, "fecha", "left")
+    found = starts.join(open_days, "fecha", "left")
+    if not strict:
+        return found
+    missing = F.col("habil").isNull()
+    return found.withColumn("habil", fail_when(missing, "no business day left in the window", F.col("habil")))
 
 
-def next_open_date(days: DataFrame, holidays: DataFrame, *, today: str = "hoy", season_start: str = "inicio") -> DataFrame:
-    """First business day from the season's start and from today, whichever is later, and its month."""
+def next_open_date(
+    days: DataFrame, holidays: DataFrame, *, today: str = "hoy", season_start: str = "inicio", strict: bool = False
+) -> DataFrame:
+    """First business day from the season's start and from today, whichever is later, and its month.
+
+    Where either has no business day in its window there is no date, never an earlier one; strict makes it an error.
+    """
     pairs = days.select(F.col(today).alias("hoy"), F.col(season_start).alias("inicio")).distinct()
     starts = pairs.select(F.explode(F.array("hoy", "inicio")).alias("fecha"))
-    habil = business_day_offset(starts, holidays, 0)
-    opening = F.greatest("_desde_inicio", "_desde_hoy")
+    habil = business_day_offset(starts, holidays, 0, strict=strict)
+    both = F.col("_desde_inicio").isNotNull() & F.col("_desde_hoy").isNotNull()
+    opening = F.when(both, F.greatest("_desde_inicio", "_desde_hoy"))
     return (
         pairs.join(habil.select(F.col("fecha").alias("hoy"), F.col("habil").alias("_desde_hoy")), "hoy", "left")
         .join(habil.select(F.col("fecha").alias("inicio"), F.col("habil").alias("_desde_inicio")), "inicio", "left")
@@ -99,10 +111,11 @@ def calendar_day_events(visits: DataFrame, month: int = 0, *, hot_rows: int = HO
 def calendar_grid(visits: DataFrame, month: int = 0, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each month's page: a row per event in its cell, and a row without event for an empty day."""
     rows = _events(visits, month).filter(F.col("fecha").isNotNull())
-    # A few hundred dates, read several times below.
-    dates = cut_lineage(rows.select("fecha").distinct())
+    # A row per date, for the numbering and for the pages.
+    counts = cell_counts(rows, ["fecha"])
+    dates = counts.select("fecha")
     index = calendar_index(dates, column="fecha")
-    events = with_ordinal(rows, ["fecha"], ["_orden", "programada_id"], name="n", hot_rows=hot_rows)
+    events = with_ordinal(rows, ["fecha"], ["_orden", "programada_id"], name="n", hot_rows=hot_rows, counts=counts)
     # The index has one row per calendar day at most, so it fits every executor;
     # the events are then placed without a shuffle and a crowded day stays split.
     placed = events.join(F.broadcast(index), "fecha").select("mes", "fecha", "fila", "columna", "n", "nombre")
@@ -118,7 +131,11 @@ def calendar_grid_misses(visits: DataFrame) -> DataFrame:
 
 
 def season_months(seasons: DataFrame) -> DataFrame:
-    """Month options of each season (temporada, inicio, fin): 0 = all, then the season's months."""
-    months = F.concat(F.array(F.lit(0)), F.sequence(F.month("inicio"), F.month("fin")))
+    """Month options of each season (temporada, inicio, fin): 0 = all, then its months.
+
+    A season that ends in an earlier month than it starts in, over New Year, has the option 0 alone.
+    """
+    within = F.month("inicio") <= F.month("fin")
+    months = F.concat(F.array(F.lit(0)), F.when(within, F.sequence(F.month("inicio"), F.month("fin"))).otherwise(F.array()))
     rows = seasons.select("temporada", F.explode(months).alias("value"))
     return rows.select("temporada", "value", short_month_label(F.col("value")).alias("label"))

@@ -6,28 +6,32 @@ field has no row. Several changes to one field of one visit are settled by the
 largest ``seq``. Every function reduces its change table to one row per key with
 a map-side aggregate, so a key with very many changes costs no more than one
 with a few, and then joins the snapshot once. That reduced table is written to
-the shared folder when the function is called; while it is small it is broadcast,
-and the snapshot then needs no shuffle.
+the shared folder when the function is called; Spark reads its size from the files
+and broadcasts it while it is small, and the snapshot then needs no shuffle.
+
+What cannot be applied (an unknown visit, pair, field or action) changes nothing and
+is listed by ``rejected_changes`` and ``unmatched``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rondas import schema as S
+from rondas.functions.checks import fail_when
 from rondas.functions.dates import as_date, blank_to_null, parse_date, parse_time
 from rondas.operators.calendar import business_day_offset
-from rondas.operators.ordinals import HOT_ROWS, number_all
-from rondas.sources.shared import BROADCAST_BYTES, broadcast_if_small
+from rondas.operators.ordinals import HOT_ROWS, number_all, with_ordinal
+from rondas.sources.shared import write_out
 
 PATCH, DELETE = "patch", "delete"
-PATCHABLE = (*S.FORM_FIELDS, "fecha_lim")
-
-ROW_BYTES = 100  # of a row of keys, numbers and dates, in memory
+KEY = "programada_id"
+#: Fields that a form may not leave empty.
+REQUIRED = ("fecha",)
 
 
 # ------------------------------------------------------------------ transport
@@ -38,14 +42,29 @@ def transport_encode(visits: DataFrame) -> DataFrame:
     return visits.withColumns({c: F.col(c).cast("string") for c in S.DATE_COLUMNS})
 
 
-def transport_decode(rows: DataFrame) -> DataFrame:
-    """Typed visits from transport rows; text that is no date or time becomes null."""
-    return rows.withColumns(
-        {
-            **{c: parse_date(F.col(c)) for c in S.DATE_COLUMNS},
-            **{c: parse_time(F.col(c)) for c in S.TIME_COLUMNS},
-        }
-    )
+def transport_decode(rows: DataFrame, *, strict: bool = False) -> DataFrame:
+    """Typed visits from transport rows. Text that is no date or time becomes null, or fails the query if strict."""
+    parsed = {
+        **{c: parse_date(F.col(c)) for c in S.DATE_COLUMNS},
+        **{c: parse_time(F.col(c)) for c in S.TIME_COLUMNS},
+    }
+    if strict:
+        parsed = {c: fail_when(_unreadable(c, p), f"no date or time in {c}", p) for c, p in parsed.items()}
+    return rows.withColumns(parsed)
+
+
+def _unreadable(column: str, parsed: Column) -> Column:
+    return F.col(column).isNotNull() & (F.col(column) != "") & parsed.isNull()
+
+
+def undecodable(rows: DataFrame) -> DataFrame:
+    """(programada_id, campo, valor) of the texts that ``transport_decode`` cannot read."""
+    bad = [
+        F.when(_unreadable(c, parse(F.col(c))), F.struct(F.lit(c).alias("campo"), F.col(c).alias("valor")))
+        for columns, parse in ((S.DATE_COLUMNS, parse_date), (S.TIME_COLUMNS, parse_time))
+        for c in columns
+    ]
+    return rows.select(KEY, F.inline(F.array_compact(F.array(*bad))))
 
 
 # ----------------------------------------------------------------- difference
@@ -55,7 +74,8 @@ def changed_fields(stored: DataFrame, submitted: DataFrame) -> DataFrame:
     """One row per field whose submitted value differs from the stored one.
 
     ``submitted`` is in transport form; its empty texts count as null. A value
-    that was removed is a change too. A ``seq`` column is kept.
+    that was removed is a change too. A ``seq`` column is kept. Forms for visits that are
+    not stored have no rows here; ``unmatched`` lists them.
     """
     fields = S.FORM_FIELDS
     keys = [c for c in ("seq", "programada_id") if c in submitted.columns]
@@ -66,9 +86,7 @@ def changed_fields(stored: DataFrame, submitted: DataFrame) -> DataFrame:
     )
     return (
         new.join(old, "programada_id")
-        .select(*keys, F.explode(F.expr(f"array({entries})")).alias("_cambio"))
-        .filter(F.col("_cambio").isNotNull())
-        .select(*keys, "_cambio.*")
+        .select(*keys, F.expr(f"inline(array_compact(array({entries})))"))
     )
 
 
@@ -83,10 +101,14 @@ def _normal_value(field: Column, value: Column) -> Column:
 
 
 def typed_patch(changes: DataFrame, *, field: str = "campo", value: str = "valor") -> DataFrame:
-    """Bring changed values into stored form; ``valido`` is false where a value does not fit its field."""
+    """Bring changed values into stored form; ``valido`` is false where a value does not fit its field.
+
+    Emptying a field that needs a value does not fit either.
+    """
     normal = _normal_value(F.col(field), F.col(value))
     empty_time = F.col(field).isin(*S.TIME_COLUMNS) & (F.col(value) == "")
-    valid = F.col(value).isNull() | normal.isNotNull() | empty_time
+    emptied = F.col(value).isNull() & ~F.col(field).isin(*REQUIRED)
+    valid = emptied | normal.isNotNull() | empty_time
     return changes.withColumns({value: normal, "valido": F.coalesce(valid, F.lit(False))})
 
 
@@ -95,61 +117,85 @@ def typed_patch(changes: DataFrame, *, field: str = "campo", value: str = "valor
 
 def _stored(field: T.StructField) -> str:
     """The change to a field as its type; a text that does not fit is an error, never a null."""
-    value = f"_cambios['{field.name}']"
+    value = f"_{field.name}.valor"
     if isinstance(field.dataType, T.StringType):
         return value
     typed = f"try_cast({value} AS {field.dataType.simpleString()})"
     return f"IF({value} IS NOT NULL AND {typed} IS NULL, raise_error('a value does not fit {field.name}'), {typed})"
 
 
-def apply_changes(visits: DataFrame, changes: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def apply_changes(visits: DataFrame, changes: DataFrame) -> DataFrame:
     """Snapshot after patches and deletes. A deleted visit stays deleted whatever else was sent for it.
 
-    Values must be in stored form (see ``typed_patch``); one that is not fails
-    the query rather than turning into null.
+    Every column but the key can be patched. Values must be in stored form (see ``typed_patch``); one
+    that is not fails the query rather than turning into null.
     """
-    # A delete is kept as a change to the field without a name.
-    latest = (
-        changes.filter((F.col("accion") == DELETE) | F.col("campo").isin(*PATCHABLE))
-        .groupBy("programada_id", F.when(F.col("accion") == DELETE, F.lit("")).otherwise(F.col("campo")).alias("_campo"))
-        .agg(F.max(F.struct("seq", "valor")).alias("_ultimo"))
-    )
-    # At most one entry per field of the form.
-    per_visit = latest.groupBy("programada_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("_campo", "_ultimo.valor"))).alias("_cambios")
+    fields = [f for f in visits.schema.fields if f.name != KEY]
+    # One aggregate per field: changes are shuffled once, one row per visit and task.
+    latest = [
+        F.expr(f"max(CASE WHEN accion = '{PATCH}' AND campo = '{f.name}' THEN struct(seq, valor) END)").alias(f"_{f.name}")
+        for f in fields
+    ]
+    per_visit = write_out(
+        changes.groupBy(KEY).agg(*latest, F.coalesce(F.max(F.col("accion") == DELETE), F.lit(False)).alias("_borrada"))
     )
-    width = F.lit(ROW_BYTES) + F.octet_length(F.to_json("_cambios"))
-    per_visit = broadcast_if_small(per_visit, width, broadcast_bytes)
     patched = [
-        f"CASE WHEN map_contains_key(_cambios, '{f.name}') THEN {_stored(f)} ELSE {f.name} END AS {f.name}"
-        if f.name in PATCHABLE
-        else f.name
+        f.name if f.name == KEY else f"CASE WHEN _{f.name} IS NOT NULL THEN {_stored(f)} ELSE {f.name} END AS {f.name}"
         for f in visits.schema.fields
     ]
+    return visits.join(per_visit, KEY, "left").filter("NOT coalesce(_borrada, false)").selectExpr(*patched)
+
+
+def rejected_changes(visits: DataFrame, changes: DataFrame) -> DataFrame:
+    """Changes that ``apply_changes`` cannot apply, with the reason as ``motivo``."""
+    fields = [c for c in visits.columns if c != KEY]
+    known = visits.select(KEY, F.lit(True).alias("_conocida"))
+    action = F.coalesce(F.col("accion").isin(PATCH, DELETE), F.lit(False))
+    field = (F.col("accion") == DELETE) | F.coalesce(F.col("campo").isin(*fields), F.lit(False))
+    reason = (
+        F.when(~action, "accion desconocida")
+        .when(~field, "campo desconocido")
+        .when(F.col("_conocida").isNull(), "visita desconocida")
+    )
     return (
-        visits.join(per_visit, "programada_id", "left")
-        .filter("NOT coalesce(map_contains_key(_cambios, ''), false)")
-        .selectExpr(*patched)
+        changes.join(known, KEY, "left")
+        .select(*changes.columns, reason.alias("motivo"))
+        .filter(F.col("motivo").isNotNull())
     )
 
 
+def unmatched(snapshot: DataFrame, changes: DataFrame, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
+    """Changes whose key is not in the snapshot: forms, closings or answers that find nothing to change."""
+    return changes.join(snapshot.select(*keys), list(keys), "left_anti").select(*changes.columns)
+
+
 def insert_visits(
     visits: DataFrame, requests: DataFrame, season_limit: dt.date | str, *, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Snapshot with new visits added.
 
     Zero and empty inputs become null. Ids continue after the largest one in
-    ``seq`` order; ``fecha_lim`` starts at the season limit.
+    ``seq`` order, ``orden`` after the largest of the date, also in ``seq`` order; ``fecha_lim``
+    starts at the season limit. A visit without a date has no place in one.
     """
-    # Two numbers, not rows, come to the driver.
-    last_id = visits.agg(F.max("programada_id")).first()[0] or 0
-    new = number_all(requests, ["seq"], name="_n", hot_rows=hot_rows)
+    # A number, not rows, comes to the driver.
+    last_id = visits.agg(F.max(KEY)).first()[0] or 0
+    numbered = number_all(requests, ["seq"], name="_n")
+    dated = with_ordinal(numbered, ["fecha"], ["seq"], name="_k", hot_rows=hot_rows)
+    # One row per calendar date.
+    last_place = visits.groupBy("fecha").agg(F.max("orden").alias("_ultimo"))
+    undated = numbered.filter(F.col("fecha").isNull()).withColumns(
+        {"_k": F.lit(None).cast("long"), "_ultimo": F.lit(None).cast("long")}
+    )
+    new = dated.join(last_place, "fecha", "left").unionByName(undated)
     columns = []
     for f in S.VISIT_SCHEMA.fields:
         if f.name == "programada_id":
             value = F.lit(last_id) + F.col("_n")
         elif f.name == "fecha_lim":
             value = F.lit(as_date(season_limit))
+        elif f.name == "orden":
+            value = F.coalesce("_ultimo", F.lit(0)) + F.col("_k")
         elif f.name not in requests.columns:
             value = F.lit(None)
         elif isinstance(f.dataType, T.StringType):
@@ -162,53 +208,48 @@ def insert_visits(
     return visits.select(*S.VISIT_SCHEMA.fieldNames()).unionByName(new.select(*columns))
 
 
-def close_visits(
-    visits: DataFrame, closings: DataFrame, holidays: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def close_visits(visits: DataFrame, closings: DataFrame, holidays: DataFrame) -> DataFrame:
     """Set the outcome of visits: (seq, programada_id, estatus, hoy), ``hoy`` being the day of the change.
 
     A closing that repeats the current status does nothing. One that changes it
     also moves ``fecha_lim`` forward to the business day after ``hoy``, if that
-    is earlier. With several closings for one visit the last status stands and
-    the earliest effective day counts, as if applied one by one.
+    is earlier. Several closings for one visit act one by one in ``seq`` order, whether their days
+    go forward or back. A day whose window has no business day left fails the query.
     """
-    next_day = business_day_offset(closings, holidays, 1, column="hoy")
-    # `next_day` has one row per calendar date at most.
-    dated = closings.join(F.broadcast(next_day.withColumnRenamed("fecha", "hoy")), "hoy", "left")
-    per_visit = dated.groupBy("programada_id").agg(
-        F.max(F.struct("seq", "estatus"))["estatus"].alias("_estatus"),
-        *[F.min(F.when(F.col("estatus") == s, F.col("habil"))).alias(f"_{i}") for i, s in enumerate(S.STATUSES)],
+    next_day = business_day_offset(closings, holidays, 1, column="hoy", strict=True)
+    dated = closings.join(next_day.withColumnRenamed("fecha", "hoy"), "hoy", "left")
+    # A closing acts if its status differs from the one before; the first one is compared with the stored status
+    # below. The closings of one visit are sorted, never gathered.
+    before = F.lag("estatus").over(Window.partitionBy(KEY).orderBy("seq"))
+    per_visit = write_out(
+        dated.withColumn("_antes", before)
+        .groupBy(KEY)
+        .agg(
+            F.max(F.struct("seq", "estatus"))["estatus"].alias("_estatus"),
+            F.min(F.struct("seq", "estatus", "habil")).alias("_primera"),
+            F.min(F.when(F.col("_antes") != F.col("estatus"), F.col("habil"))).alias("_despues"),
+        )
     )
-    per_visit = broadcast_if_small(per_visit, F.lit(ROW_BYTES), broadcast_bytes)
-    # Closings to the status already stored leave the visit as it is.
-    stored = F.coalesce(F.col("estatus"), F.lit(""))
-    days = [F.when(stored != s, F.col(f"_{i}")) for i, s in enumerate(S.STATUSES)]
-    changes = visits.join(per_visit, "programada_id", "left")
-    return changes.withColumns(
-        {
-            "fecha_lim": F.least("fecha_lim", *days),
-            "estatus": F.coalesce("_estatus", "estatus"),
-        }
-    ).select(*visits.columns)
-
-
-def _set_answer(attendance: DataFrame, answers: DataFrame, column: str, broadcast_bytes: int) -> DataFrame:
-    key = ["programada_id", "codigo"]
-    latest = answers.groupBy(*key).agg(F.max(F.struct("seq", F.col(column).alias("_valor"))).alias("_nuevo"))
-    latest = broadcast_if_small(latest, F.lit(ROW_BYTES), broadcast_bytes)
+    first = F.when(F.coalesce("estatus", F.lit("")) != F.col("_primera.estatus"), F.col("_primera.habil"))
+    return (
+        visits.join(per_visit, KEY, "left")
+        .withColumns({"fecha_lim": F.least("fecha_lim", first, "_despues"), "estatus": F.coalesce("_estatus", "estatus")})
+        .select(*visits.columns)
+    )
+
+
+def _set_answer(attendance: DataFrame, answers: DataFrame, column: str) -> DataFrame:
+    key = [KEY, "codigo"]
+    latest = write_out(answers.groupBy(*key).agg(F.max(F.struct("seq", F.col(column).alias("_valor"))).alias("_nuevo")))
     value = F.when(F.col("_nuevo").isNotNull(), F.col("_nuevo._valor")).otherwise(F.col(column))
     return attendance.join(latest, key, "left").withColumn(column, value).select(*attendance.columns)
 
 
-def answer_invitation(
-    attendance: DataFrame, answers: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def answer_invitation(attendance: DataFrame, answers: DataFrame) -> DataFrame:
     """Set ``asiste`` of (visit, university) pairs: rows (seq, programada_id, codigo, asiste)."""
-    return _set_answer(attendance, answers, "asiste", broadcast_bytes)
+    return _set_answer(attendance, answers, "asiste")
 
 
-def flag_invitation(
-    attendance: DataFrame, flags: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def flag_invitation(attendance: DataFrame, flags: DataFrame) -> DataFrame:
     """Set ``invitacion`` of (visit, university) pairs: rows (seq, programada_id, codigo, invitacion)."""
-    return _set_answer(attendance, flags, "invitacion", broadcast_bytes)
+    return _set_answer(attendance, flags, "invitacion")

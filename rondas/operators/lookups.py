@@ -83,3 +83,13 @@ def users(universities: DataFrame) -> DataFrame:
 def options(dimension: DataFrame, key: str, label: str) -> DataFrame:
     """Value / label pairs of a lookup table."""
     return dimension.select(F.col(key).alias("value"), F.col(label).alias("label"))
+
+
+def commune_options(communes: DataFrame) -> DataFrame:
+    """Communes as options, by name."""
+    return options(communes, "comuna_id", "comuna").orderBy("label", "value")
+
+
+def slot_options(slots: DataFrame) -> DataFrame:
+    """Times of day as options, in order."""
+    return options(slots, "hora", "etiqueta").orderBy("value")

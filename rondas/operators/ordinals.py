@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from rondas.sources.shared import cut_lineage, write_out
 
 HOT_ROWS = 2_000_000
-MAX_BROADCAST_CELLS = 1_000_000
 
 _PART_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
@@ -36,17 +35,19 @@ def with_ordinal(
     name: str = "orden",
     spread: str | None = None,
     hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``name`` = position of the row in its ``keys`` group, ordered by ``spread`` then ``order``.
 
     ``order`` must end in a unique column. Rows with a null key belong to no
     group and are left out; nulls in ``spread`` and ``order`` come first.
-    The counts are computed (and kept in the shared folder) when this is called.
+    The counts are computed (and kept in the shared folder) when this is called, unless
+    the caller has them from ``cell_counts``.
     """
     for key in keys:
         rows = rows.filter(F.col(key).isNotNull())
     cell = [*keys, spread] if spread else list(keys)
-    counts = cut_lineage(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")))
+    counts = cell_counts(rows, cell) if counts is None else counts
     hot = F.col("_n") > hot_rows
     cells, hot_total = counts.filter(hot).agg(F.count(F.lit(1)), F.sum("_n")).first()
 
@@ -61,7 +62,6 @@ def with_ordinal(
 
     # At most rows / hot_rows cells are hot, and here their number is known.
     marks = offsets.filter(hot).select(*[F.col(c).alias(f"_s_{c}") for c in cell], "_before")
-    marks = F.broadcast(marks) if cells <= MAX_BROADCAST_CELLS else marks
     match = _all_same(cell, "_s_")
     cold = _number_by_cell(rows.join(marks, match, "left_anti"), offsets, cell, order, name, bool(spread))
     large = rows.join(marks, match).select(*rows.columns, "_before")
@@ -87,9 +87,14 @@ def _number_by_cell(
     )
 
 
-def number_all(rows: DataFrame, order: list[str], *, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Number the whole table 1..n without bringing it into one task."""
-    parts = max(1, -(-rows.count() // hot_rows)) + 1
+def cell_counts(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """Rows per cell as ``_n``, kept in the shared folder."""
+    return cut_lineage(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")))
+
+
+def number_all(rows: DataFrame, order: list[str], *, name: str, parts: int | None = None) -> DataFrame:
+    """Number the whole table 1..n without bringing it into one task; in as many ranges as the session shuffles into."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return _number_by_range(rows, [], order, parts).withColumnRenamed("_in_cell", name)
 
 
@@ -114,6 +119,6 @@ def _number_by_range(rows: DataFrame, cell: list[str], order: list[str], parts:
     )
     match = _all_same([*cell, "_part"], "_s_")
     columns = [c for c in placed.columns if c not in ("_at", "_part")]
-    return placed.join(F.broadcast(spans), match).select(
+    return placed.join(spans, match).select(
         *columns, (F.col("_at") - F.col("_first") + 1 + F.col("_prev")).alias("_in_cell")
     )

@@ -112,6 +112,8 @@ def export_detail(
     rows = visits.filter(in_month("fecha", month, years)) if month else visits
     rows = with_commune(rows.select(*S.DETAIL_COLUMNS), communes, strict=strict)
     rows = rows.withColumn("comuna_id", F.col("comuna")).drop("comuna")
+    if month:  # answers of other months are neither grouped nor shuffled twice
+        attendance = attendance.join(rows.select("programada_id"), "programada_id", "left_semi")
     matrix = attendance_matrix(attendance, universities, strict=strict)
     shown = [c for c in S.DETAIL_COLUMNS if c not in ("orden", "organizador_id")]
     # Sorted last: a join does not keep the order of its input.

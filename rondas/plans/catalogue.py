@@ -6,6 +6,7 @@ users, are derived here from whole tables by plain rules.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +18,7 @@ from rondas.functions import dates as D
 from rondas.operators import attendance as A
 from rondas.operators import availability, calendar, changes, lookups, reports
 from rondas.operators import visits as V
+from rondas.operators.ordinals import with_ordinal
 from rondas.plans import editing, screens
 from rondas.sources import sinks, tables
 from rondas.sources import star_schema as X
@@ -25,8 +27,12 @@ from rondas.sources.shared import shared_dir
 Query = Callable[[SparkSession, str], DataFrame]
 
 MONTH = 6
+RANGE_ROWS = 100
 REPORT_USER = 1
-SEASON = screens.Season(X.AS_OF, X.SEASON_LIMIT, X.CAPACITY)
+
+
+def _season(spark: SparkSession, d: str) -> screens.Season:
+    return screens.Season(X.AS_OF, X.SEASON_LIMIT, X.capacity(spark, d))
 
 
 def _universities(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +65,49 @@ def _forms(visits: DataFrame) -> DataFrame:
     return visits.selectExpr("programada_id", *[edited.get(f, f) for f in S.FORM_FIELDS])
 
 
+def _hard_forms(visits: DataFrame) -> DataFrame:
+    """The forms with a ``seq``: some hold no time of day, an empty date or a short time, some name no visit."""
+    spoiled = {
+        "fecha": "IF(programada_id % 17 = 0, '', fecha) AS fecha",
+        "hora_ini": "IF(programada_id % 13 = 0, '99:99:99', hora_ini) AS hora_ini",
+        "hora_fin": "IF(programada_id % 19 = 0, '9:05:00', hora_fin) AS hora_fin",
+    }
+    forms = _forms(visits).selectExpr(
+        "programada_id AS seq", "programada_id", *[spoiled.get(f, f) for f in S.FORM_FIELDS]
+    )
+    strangers = forms.filter("programada_id % 23 = 0").withColumns(
+        {"seq": -F.col("seq") - 1, "programada_id": -F.col("programada_id") - 1}
+    )
+    return forms.unionByName(strangers)
+
+
+def _edit(spark: SparkSession, d: str) -> editing.Edit:
+    visits = X.visits(spark, d)
+    return editing.submit_forms(visits, _hard_forms(visits), X.capacity(spark, d))
+
+
+def _mixed_changes(visits: DataFrame) -> DataFrame:
+    """The change table with a school's number patched, and changes that cannot be applied."""
+    extra = F.array(
+        *[
+            F.struct(F.lit(action).alias("accion"), F.lit(field).alias("campo"), F.lit(value).alias("valor"))
+            for action, field, value in (
+                (changes.PATCH, "rbd", "7"), (changes.PATCH, "color", "rojo"), ("mover", "fecha", None),
+            )
+        ]
+    )
+    key = F.col("programada_id")
+    known = visits.filter(key % 29 == 0).select(key.alias("seq"), "programada_id", F.inline(extra))
+    unknown = visits.filter(key % 31 == 0).select(
+        key.alias("seq"),
+        (-key - 1).alias("programada_id"),
+        F.lit(changes.PATCH).alias("accion"),
+        F.lit("direccion").alias("campo"),
+        F.lit("nadie").alias("valor"),
+    )
+    return _field_changes(visits).unionByName(known).unionByName(unknown)
+
+
 def _field_changes(visits: DataFrame) -> DataFrame:
     """Field differences of the forms as a change table, and the deletion of late suspended visits."""
     differences = changes.changed_fields(visits, _forms(visits)).select(
@@ -98,23 +147,42 @@ def _raw_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _closings(visits: DataFrame) -> DataFrame:
-    """Each past visit is closed some days after its date, according to its priority."""
+    """Each past visit is closed some days after its date, according to its priority, and some again on another day."""
     outcome = F.when(F.col("observaciones") == "1-URGENT", S.SUSPENDED).otherwise(S.DONE)
-    return visits.filter(F.col("fecha") < F.lit(X.AS_OF)).select(
-        F.col("programada_id").alias("seq"),
-        "programada_id",
-        outcome.alias("estatus"),
-        F.date_add("fecha", (F.col("programada_id") % 5).cast("int")).alias("hoy"),
+    key = F.col("programada_id")
+    again = F.when(
+        key % 3 == 0,
+        F.struct((2 * key + 1).alias("seq"), F.lit(S.CONFIRMED).alias("estatus"), F.date_add("fecha", 4 - (key % 7).cast("int")).alias("hoy")),
+    )
+    first = F.struct((2 * key).alias("seq"), outcome.alias("estatus"), F.date_add("fecha", (key % 5).cast("int")).alias("hoy"))
+    return (
+        visits.filter(F.col("fecha") < F.lit(X.AS_OF))
+        .select("programada_id", F.inline(F.array_compact(F.array(first, again))))
+        .select("seq", "programada_id", "estatus", "hoy")
     )
 
 
 def _answers(attendance: DataFrame) -> DataFrame:
-    """Every open answer becomes a yes or a no."""
+    """Every open answer becomes a yes or a no, after an empty one; some answers are for pairs that nobody asked."""
     rows = attendance.filter(F.col("asiste") == S.ANSWER_OPEN)
-    answer = ((F.col("programada_id") + F.col("codigo")) % 2).cast("int")
-    return rows.select(
-        F.col("programada_id").alias("seq"), "programada_id", "codigo", answer.alias("asiste"), answer.alias("invitacion")
+    key = F.col("programada_id")
+    answer = ((key + F.col("codigo")) % 2).cast("int")
+    none = F.lit(None).cast("int")
+    given = F.array(
+        F.struct((2 * key + 1).alias("seq"), key.alias("programada_id"), answer.alias("asiste"), answer.alias("invitacion")),
+        F.struct((2 * key).alias("seq"), key.alias("programada_id"), none.alias("asiste"), none.alias("invitacion")),
+        F.struct((2 * key).alias("seq"), (-key - 1).alias("programada_id"), answer.alias("asiste"), answer.alias("invitacion")),
     )
+    return rows.select("codigo", F.inline(given)).select("seq", "programada_id", "codigo", "asiste", "invitacion")
+
+
+def _with_closure(spark: SparkSession, d: str) -> DataFrame:
+    """The holidays and three closed weeks, longer than any window of business days."""
+    # One row, as the span of the holidays, makes the three weeks.
+    closure = X.holidays(spark, d).agg(F.min("fecha").alias("fecha")).select(
+        F.explode(F.sequence(F.lit(dt.date(1997, 7, 7)), F.lit(dt.date(1997, 7, 27)))).alias("fecha")
+    )
+    return X.holidays(spark, d).union(closure).distinct()
 
 
 def _new_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -181,16 +249,21 @@ def open_invitation_count(spark, d):
 
 
 def advisory_text(spark, d):
-    return A.advisory_text(screens.advisory(_tables(spark, d), SEASON))
+    return A.advisory_text(screens.advisory(_tables(spark, d), _season(spark, d)))
 
 
 def advisory_hidden(spark, d):
-    return A.advisory_hidden(screens.advisory(_tables(spark, d), SEASON))
+    return A.advisory_hidden(screens.advisory(_tables(spark, d), _season(spark, d)))
 
 
 def attendance_lists(spark, d):
-    lists = A.attendance_lists(X.attendance(spark, d))
-    return lists.withColumn("codigos", F.array_join("codigos", ","))
+    # Lines as they are: a university may stand several times, or without a code.
+    raw = X.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("programada_id"),
+        F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey") % X.CODES).cast("int").alias("codigo"),
+        F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 0).otherwise(2).alias("asiste"),
+    )
+    return A.attendance_lists(raw).withColumn("codigos", F.array_join("codigos", ",", "-"))
 
 
 def attendance_roster(spark, d):
@@ -248,14 +321,14 @@ def calendar_shape(spark, d):
 
 
 def business_day_offset(spark, d):
-    return calendar.business_day_offset(X.visits(spark, d), X.holidays(spark, d), 1)
+    return calendar.business_day_offset(X.visits(spark, d), _with_closure(spark, d), 1)
 
 
 def next_open_date(spark, d):
     days = X.visits(spark, d).select(
         F.col("fecha").alias("hoy"), F.make_date(F.year("fecha"), F.lit(3), F.lit(1)).alias("inicio")
     )
-    return calendar.next_open_date(days, X.holidays(spark, d))
+    return calendar.next_open_date(days, _with_closure(spark, d))
 
 
 def season_months(spark, d):
@@ -264,21 +337,24 @@ def season_months(spark, d):
         .groupBy(F.year("fecha").alias("temporada"))
         .agg(F.min("fecha").alias("inicio"), F.max("fecha").alias("fin"))
     )
-    return calendar.season_months(seasons)
+    # Every other season starts half a year earlier and so goes over New Year.
+    early = F.when(F.col("temporada") % 2 == 0, F.add_months("inicio", -6)).otherwise(F.col("inicio"))
+    shorter = F.when(F.col("temporada") % 2 == 0, F.add_months("fin", -9)).otherwise(F.col("fin"))
+    return calendar.season_months(seasons.select("temporada", early.alias("inicio"), shorter.alias("fin")))
 
 
 def blocked_dates(spark, d):
-    return availability.blocked_dates(X.visits(spark, d), X.CAPACITY)
+    return availability.blocked_dates(X.visits(spark, d), X.capacity(spark, d))
 
 
 def date_availability(spark, d):
     visits = X.visits(spark, d)
-    return availability.date_availability(_moves(visits), availability.blocked_dates(visits, X.CAPACITY))
+    return availability.date_availability(_moves(visits), availability.blocked_dates(visits, X.capacity(spark, d)))
 
 
 def guarded_insert(spark, d):
     visits = X.visits(spark, d)
-    return availability.guard_requests(visits, _guard_input(visits, _new_requests(spark, d)), X.CAPACITY)
+    return availability.guard_requests(visits, _guard_input(visits, _new_requests(spark, d)), X.capacity(spark, d))
 
 
 def school_enrichment(spark, d):
@@ -331,6 +407,46 @@ def school_options(spark, d):
     return lookups.options(X.schools(spark, d), "rbd", "nombre")
 
 
+def commune_options(spark, d):
+    return lookups.commune_options(X.communes(spark, d))
+
+
+def slot_options(spark, d):
+    """The times of day at which visits start, as options."""
+    used = X.visits(spark, d).select(F.col("hora_ini").alias("hora")).distinct()
+    return lookups.slot_options(X.time_slots(spark).join(used, "hora", "left_semi"))
+
+
+def lookup_file(spark, d):
+    """Communes written under other names and types and read as a lookup."""
+    path = _folder(spark, "communes")
+    X.communes(spark, d).selectExpr("CAST(comuna_id AS BIGINT) AS code", "comuna AS name").write.parquet(path)
+    return tables.read_lookup(spark, path, S.COMMUNE_SCHEMA)
+
+
+def attendance_file(spark, d):
+    """The attendance table written with wider types and read with its declared schema."""
+    path = _folder(spark, "attendance")
+    X.attendance(spark, d).selectExpr(
+        "CAST(codigo AS BIGINT) AS codigo", "programada_id", "CAST(asiste AS BIGINT) AS asiste", "invitacion"
+    ).write.parquet(path)
+    return tables.read_attendance(spark, path)
+
+
+def universities_file(spark, d):
+    """Universities written as one JSON object and read back; their number is that of the nations."""
+    path = _folder(spark, "universities")
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col("codigo").cast("string"), "universidad")))
+    X.all_universities(spark, d).agg(F.to_json(entries).alias("value")).write.text(path)
+    return tables.read_universities(spark, path)
+
+
+def ordinals_by_range(spark, d):
+    """Visits numbered by status, a few groups of which one holds most rows, all of them split by range."""
+    rows = X.visits(spark, d).select("estatus", "fecha", "programada_id")
+    return with_ordinal(rows, ["estatus"], ["fecha", "programada_id"], name="n", hot_rows=RANGE_ROWS)
+
+
 def edit_flags(spark, d):
     return V.edit_flags(X.visits(spark, d), X.AS_OF, X.SEASON_LIMIT)
 
@@ -346,7 +462,12 @@ def typed_patch(spark, d):
 
 def apply_changes(spark, d):
     visits = X.visits(spark, d)
-    return changes.apply_changes(visits, _field_changes(visits))
+    return changes.apply_changes(visits, _mixed_changes(visits))
+
+
+def rejected_changes(spark, d):
+    visits = X.visits(spark, d)
+    return changes.rejected_changes(visits, _mixed_changes(visits))
 
 
 def apply_inserts(spark, d):
@@ -354,16 +475,26 @@ def apply_inserts(spark, d):
 
 
 def submit_forms(spark, d):
-    visits = X.visits(spark, d)
-    forms = _forms(visits).withColumn("seq", F.col("programada_id"))
-    return editing.submit_forms(visits, forms, X.CAPACITY).snapshot
+    return _edit(spark, d).snapshot
+
+
+def form_decisions(spark, d):
+    return _edit(spark, d).decisions.select("seq", "fecha", "decision")
+
+
+def form_invalid(spark, d):
+    return _edit(spark, d).invalid
+
+
+def form_unmatched(spark, d):
+    return _edit(spark, d).unmatched
 
 
 def add_visits(spark, d):
     t = _tables(spark, d)
     asked = _new_requests(spark, d).withColumn("organizador_id", (F.col("seq") % 2 + 1).cast("int"))
     return editing.add_visits(
-        t.visits, asked, t.schools, t.communes, t.universities, X.CAPACITY, X.SEASON_LIMIT
+        t.visits, asked, t.schools, t.communes, t.universities, X.capacity(spark, d), X.SEASON_LIMIT
     ).snapshot
 
 
@@ -377,6 +508,12 @@ def answer_invitation(spark, d):
     return changes.answer_invitation(attendance, _answers(attendance).drop("invitacion"))
 
 
+def unmatched_answers(spark, d):
+    attendance = X.attendance(spark, d)
+    answers = _answers(attendance).drop("invitacion")
+    return changes.unmatched(attendance, answers, ("programada_id", "codigo"))
+
+
 def flag_invitation(spark, d):
     attendance = X.attendance(spark, d)
     return changes.flag_invitation(attendance, _answers(attendance).drop("asiste"))
@@ -387,7 +524,23 @@ def transport_encode(spark, d):
 
 
 def transport_decode(spark, d):
-    return changes.transport_decode(changes.transport_encode(X.visits(spark, d)))
+    return changes.transport_decode(_raw_rows(spark, d))
+
+
+def undecodable(spark, d):
+    return changes.undecodable(_raw_rows(spark, d))
+
+
+def _raw_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Visits in transport form, with bad, short and empty texts among the dates and times."""
+    key = F.col("programada_id")
+    return changes.transport_encode(X.visits(spark, d)).withColumns(
+        {
+            "fecha": F.when(key % 7 == 0, "1997-02-30").when(key % 11 == 0, "").otherwise(F.col("fecha")),
+            "hora_ini": F.when(key % 5 == 0, "9:5:00").when(key % 13 == 0, "24:00:00").otherwise(F.col("hora_ini")),
+            "hora_fin": F.when(key % 17 == 0, "").otherwise(F.col("hora_fin")),
+        }
+    )
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -395,8 +548,16 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def export_file(spark, d):
-    """The public export written as CSV by month and read back."""
-    sheet = reports.export_public(X.visits(spark, d))
+    """The detailed export, with blanks, quotes, line breaks and empty texts, written as CSV by month and read back."""
+    key = F.col("programada_id")
+    texts = (
+        F.when(key % 5 == 0, "  con espacios  ")
+        .when(key % 5 == 1, "linea 1\nlinea 2, \"citada\"")
+        .when(key % 5 == 2, "")
+        .when(key % 5 == 3, "\\ fin \\")
+    )
+    visits = X.visits(spark, d).withColumns({"observaciones": texts, "asistentes_prog": texts})
+    sheet = reports.export_detail(visits, X.attendance(spark, d), X.UNIVERSITY_NAMES, X.communes(spark, d))
     path = _folder(spark, "export")
     sinks.write_export(sheet, path, by_month_of="Fecha")
     return sinks.read_export(spark, path, sheet.schema)
@@ -422,13 +583,14 @@ def visit_by_id(spark, d):
 
 def unknown_ids(spark, d):
     wanted = X.table(spark, d, "lineitem").select(F.col("l_partkey").alias("programada_id"))
-    known = X.visits(spark, d).filter(V.is_active())
-    return V.unknown_ids(known, wanted)
+    # Ids beyond the table's: negative ones, and those between.
+    beyond = wanted.select((F.col("programada_id") * 7 - 500).alias("programada_id"))
+    return V.unknown_ids(X.visits(spark, d), wanted.union(beyond))
 
 
 def column_filter_sort(spark, d):
     rows = V.visits_on_date(X.visits(spark, d))
-    return V.column_filter_sort(rows, {"nombre": "CUSTOMER#", "estatus": "confirm"}, ["organizador", "estatus"])
+    return V.column_filter_sort(rows, {"nombre": "R#0000001", "estatus": "POR confirm"}, ["organizador", "estatus"])
 
 
 def labelled_columns(spark, d):
@@ -457,9 +619,11 @@ QUERIES: dict[str, Query] = {
         business_day_offset, next_open_date, season_months,
         blocked_dates, date_availability, guarded_insert,
         school_enrichment, lookup_misses, visit_report_items, visit_report_public, visit_report_full,
-        date_label_es, time_label, active_universities, university_options, school_options, edit_flags,
-        changed_fields, typed_patch, apply_changes, apply_inserts, submit_forms, add_visits, close_visits,
-        answer_invitation, flag_invitation, transport_encode, transport_decode,
+        date_label_es, time_label, active_universities, university_options, school_options, commune_options, slot_options,
+        lookup_file, attendance_file, universities_file, ordinals_by_range, edit_flags,
+        changed_fields, typed_patch, apply_changes, rejected_changes, apply_inserts,
+        submit_forms, form_decisions, form_invalid, form_unmatched, add_visits, close_visits,
+        answer_invitation, flag_invitation, unmatched_answers, transport_encode, transport_decode, undecodable,
         export_file, page_store, snapshot_file,
         visit_by_id, unknown_ids, column_filter_sort, labelled_columns, small_projections,
     )

@@ -11,40 +11,48 @@ from pyspark.sql import functions as F
 from rondas.operators import changes as C
 from rondas.operators.availability import guard_requests
 from rondas.operators.lookups import school_enrichment, with_university
-from rondas.sources.shared import cut_lineage
+from rondas.sources.shared import write_out
 
 
 @dataclass(frozen=True)
 class Edit:
-    """The new snapshot, the decision on every request for a date and the fields whose value did not fit."""
+    """The new snapshot, the decision on every request for a date, fields whose value did not fit, forms for no visit."""
 
     snapshot: DataFrame
     decisions: DataFrame
     invalid: DataFrame | None = None
+    unmatched: DataFrame | None = None
 
 
 def submit_forms(visits: DataFrame, forms: DataFrame, capacity: int) -> Edit:
     """Apply edit forms (seq, programada_id, form fields in transport form).
 
-    A form that moves its visit to a date already full, or that holds a value
-    that does not fit its field, is rejected as a whole.
+    A form that holds a value that does not fit its field is rejected as a whole before any place is
+    given away; of the rest, a form that moves its visit to a date already full is.
     """
     # Several uses below share the one join with the snapshot, so it is written out.
-    differences = cut_lineage(
+    differences = write_out(
         C.typed_patch(C.changed_fields(visits, forms).withColumnRenamed("nuevo", "valor"))
     )
+    invalid = differences.filter("NOT valido").select("seq", "programada_id", "campo")
+    unfit = invalid.select("seq").distinct()
     moves = (
-        differences.filter((F.col("campo") == "fecha") & F.col("valor").isNotNull())
+        differences.filter(F.col("campo") == "fecha")
+        .join(unfit, "seq", "left_anti")
         .select("seq", F.to_date("valor").alias("fecha"), F.to_date("anterior").alias("fecha_propia"))
         .join(forms.select("seq", "estatus"), "seq")
     )
     decisions = guard_requests(visits, moves, capacity)
-    invalid = differences.filter("NOT valido").select("seq", "programada_id", "campo")
-    rejected = decisions.filter(F.col("decision") == "rechazada").select("seq").union(invalid.select("seq")).distinct()
+    rejected = decisions.filter(F.col("decision") == "rechazada").select("seq").union(unfit)
     patches = differences.join(rejected, "seq", "left_anti").select(
         "seq", "programada_id", F.lit(C.PATCH).alias("accion"), "campo", "valor"
     )
-    return Edit(snapshot=C.apply_changes(visits, patches), decisions=decisions, invalid=invalid)
+    return Edit(
+        snapshot=C.apply_changes(visits, patches),
+        decisions=decisions,
+        invalid=invalid,
+        unmatched=C.unmatched(visits, forms.select("seq", "programada_id")),
+    )
 
 
 def add_visits(
@@ -61,7 +69,7 @@ def add_visits(
     A commune given in the request stands; otherwise it is the school's.
     """
     asked = requests.withColumn("fecha_propia", F.lit(None).cast("date"))
-    decisions = cut_lineage(guard_requests(visits, asked, capacity).drop("fecha_propia"))
+    decisions = write_out(guard_requests(visits, asked, capacity).drop("fecha_propia"))
     accepted = decisions.filter(F.col("decision") == "aceptada").drop("decision")
     named = with_university(accepted, universities, key="organizador_id", name="organizador")
     if "comuna_id" in requests.columns:

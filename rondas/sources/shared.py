@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_BYTES = 128 * 1024 * 1024
+#: Lists of the tables written inside the open ``scratch`` blocks, innermost last.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,18 +43,24 @@ def write_out(df: DataFrame) -> DataFrame:
 
     For large intermediate results: compressed, and a later pass over a few
     columns reads only those. Small ones are cheaper through ``cut_lineage``.
+    The size Spark reads from the files decides how it is joined.
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, width: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Write ``df`` out, add up its size (``width`` bytes per row) and hint a broadcast if it is within ``limit``.
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``write_out`` makes inside the block when it ends: results must be stored by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for name in _open.pop():
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
-    A small batch then meets a large snapshot without moving the snapshot; a
-    large batch is joined by a shuffle on the key.
-    """
-    kept = cut_lineage(df)
-    size = kept.agg(F.sum(width)).first()[0] or 0
-    return F.broadcast(kept) if size <= limit else kept

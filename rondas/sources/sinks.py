@@ -7,21 +7,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: A quote is doubled, blanks and line breaks are kept, a null is an empty cell and an empty text a quoted one.
+CSV = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "nullValue": "",
+    "emptyValue": '""',
+}
+
+
 def write_export(df: DataFrame, path: str, *, by_month_of: str | None = None) -> None:
     """Labelled sheet as CSV with a header, in one folder per month if a date column is named.
 
     No sheet writer ships with Spark; a spreadsheet opens these files.
     """
     if by_month_of is None:
-        df.write.option("header", True).csv(path)
+        df.write.options(**CSV).csv(path)
         return
     month = F.date_format(F.col(f"`{by_month_of}`"), "yyyy-MM")
-    df.withColumn("mes", month).write.partitionBy("mes").option("header", True).csv(path)
+    df.withColumn("mes", month).write.partitionBy("mes").options(**CSV).csv(path)
 
 
 def read_export(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    columns = [F.col(f"`{name}`") for name in schema.fieldNames()]
-    return spark.read.option("header", True).schema(schema).csv(path).select(*columns)
+    # The reader takes any empty cell for a null; a quoted one passes as a mark that no sheet holds.
+    mark = "\x01"
+    columns = [F.col(f"`{f.name}`") for f in schema.fields]
+    columns = [
+        F.when(c == mark, "").otherwise(c).alias(f.name) if isinstance(f.dataType, T.StringType) else c
+        for c, f in zip(columns, schema.fields, strict=True)
+    ]
+    return spark.read.options(**CSV | {"emptyValue": mark, "multiLine": True}).schema(schema).csv(path).select(*columns)
 
 
 def write_store(df: DataFrame, path: str) -> None:

@@ -16,8 +16,8 @@ from rondas import schema as S
 
 AS_OF = dt.date(1998, 6, 15)
 SEASON_LIMIT = dt.date(2001, 12, 31)
-CAPACITY = 4
-CODES = 15
+VISITS_PER_PLACE = 2700  # about half of the requests for a date then find a place, at any scale
+CODES = 25
 EXCLUDED_CODES = (3, 5, 8, 13)
 UNIVERSITY_NAMES = {code: f"NATION_{code}" for code in range(CODES) if code not in EXCLUDED_CODES}
 FIXED_HOLIDAYS = (dt.date(1998, 1, 1), dt.date(1998, 5, 1), dt.date(1998, 9, 18), dt.date(1998, 12, 25))
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def capacity(spark: SparkSession, sf_dir: str) -> int:
+    """Places per date: they follow the number of visits, of which there is a fixed number of dates. One number."""
+    return max(1, table(spark, sf_dir, "orders").count() // VISITS_PER_PLACE)
+
+
 def _clock(hours: str, minutes: str) -> str:
     return f"concat(lpad({hours}, 2, '0'), ':', lpad({minutes}, 2, '0'), ':00')"
 
@@ -77,8 +82,7 @@ def attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_universities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").filter(F.col("n_nationkey") < CODES)
-    return nations.select(F.col("n_nationkey").alias("codigo"), F.col("n_name").alias("universidad"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("codigo"), F.col("n_name").alias("universidad"))
 
 
 def schools(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def read_lookup(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A parquet lookup file under the names and types of ``schema``, column by column."""
     target = T.StructType.fromDDL(schema)
     df = spark.read.parquet(path)
-    return df.select(*[F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(df.columns, target.fields)])
+    return df.select(*[F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(df.columns, target.fields, strict=True)])
 
 
 def read_universities(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 import fixtures as X
 from rondas.operators import availability, calendar
 
@@ -34,6 +36,19 @@ def test_business_days_run_out(spark):
     ]
 
 
+def test_a_closed_window_gives_no_earlier_date(spark):
+    closed = days(spark, *[(dt.date(2026, 3, 5) + dt.timedelta(i)).isoformat() for i in range(21)])
+    pairs = spark.createDataFrame([(X.day("2026-03-10"), X.day("2026-03-02"))], "hoy date, inicio date")
+    assert X.rows(calendar.next_open_date(pairs, closed)) == [(X.day("2026-03-10"), X.day("2026-03-02"), None, None)]
+    with pytest.raises(Exception, match="no business day"):
+        calendar.next_open_date(pairs, closed, strict=True).collect()
+
+
+def test_season_over_new_year(spark):
+    season = spark.createDataFrame([(2026, X.day("2025-11-01"), X.day("2026-02-27"))], "temporada int, inicio date, fin date")
+    assert X.rows(calendar.season_months(season)) == [(2026, 0, "Todos")]
+
+
 def test_next_open_date(spark):
     pairs = spark.createDataFrame(
         [(X.day("2026-01-10"), X.day("2026-03-01")), (X.day("2026-06-13"), X.day("2026-03-01"))], "hoy date, inicio date"

@@ -64,6 +64,8 @@ def test_typed_patch(spark):
         (2, 1, "patch", "fecha", "mañana"),
         (3, 1, "patch", "hora_fin", "09:15:00"),
         (4, 1, "patch", "hora_fin", "9:15"),
+        (9, 1, "patch", "hora_fin", "9:5:00"),
+        (10, 1, "patch", "fecha", None),
         (5, 1, "patch", "hora_ini", ""),
         (6, 1, "patch", "comuna_id", "x"),
         (7, 1, "patch", "direccion", None),
@@ -72,7 +74,7 @@ def test_typed_patch(spark):
     got = {r.seq: (r.valor, r.valido) for r in C.typed_patch(df).collect()}
     assert got == {
         1: ("2026-07-03", True), 2: (None, False), 3: ("09:15:00", True), 4: (None, False), 5: (None, True),
-        6: (None, False), 7: (None, True), 8: ("Calle", True),
+        6: (None, False), 7: (None, True), 8: ("Calle", True), 9: ("09:05:00", True), 10: (None, False),
     }
 
 
@@ -88,16 +90,22 @@ def test_apply_last_patch_wins_and_deletes_stay(spark):
         (1, 4, "patch", "comuna_id", "8"),
         (2, 4, "patch", "fecha", "2026-07-09"),
         (1, 99, "patch", "direccion", "nobody"),
+        (1, 5, "patch", "rbd", "9"),
+        (1, 5, "patch", "colour", "red"),
+        (1, 5, "move", None, None),
     )
     got = {r.programada_id: r for r in C.apply_changes(df, batch).collect()}
     assert sorted(got) == [1, 2, 4, 5]
     assert (got[1].direccion, got[2].hora_ini, got[2].direccion) == ("c", None, "a")
     assert (got[4].comuna_id, got[4].fecha, got[5].direccion) == (8, X.day("2026-07-09"), "a")
+    assert got[5].rbd == 9
+    assert X.rows(C.rejected_changes(df, batch), "programada_id", "campo", "motivo") == [
+        (5, "colour", "campo desconocido"), (5, None, "accion desconocida"), (99, "direccion", "visita desconocida"),
+    ]
     assert C.apply_changes(df, batch).schema == df.schema
 
 
-@pytest.mark.parametrize("broadcast_bytes", [0, 1_000_000])
-def test_apply_equals_one_by_one(spark, broadcast_bytes):
+def test_apply_equals_one_by_one(spark):
     rng = random.Random(11)
     texts = ["direccion", "contacto", "observaciones"]
     stored = {i: {t: rng.choice([None, "a", "b"]) for t in texts} | {"comuna_id": rng.choice([None, 7])} for i in range(40)}
@@ -120,7 +128,7 @@ def test_apply_equals_one_by_one(spark, broadcast_bytes):
         else:
             expected[key][field] = int(value) if field == "comuna_id" and value else value
     rng.shuffle(batch)
-    after = C.apply_changes(df, patches(spark, *batch), broadcast_bytes=broadcast_bytes)
+    after = C.apply_changes(df, patches(spark, *batch))
     got = {r.programada_id: {t: r[t] for t in [*texts, "comuna_id"]} for r in after.collect()}
     assert got == expected and len(got) < len(stored)
 
@@ -139,7 +147,7 @@ def test_insert_drops_blanks_and_numbers_on(spark):
     )
     got = {r.programada_id: r for r in C.insert_visits(df, new, X.LIMIT).collect()}
     assert sorted(got) == [7, 8, 9]
-    assert (got[8].rbd, got[8].direccion, got[8].fecha_lim, got[8].orden) == (300, "Calle", X.LIMIT, None)
+    assert (got[8].rbd, got[8].direccion, got[8].fecha_lim, got[8].orden) == (300, "Calle", X.LIMIT, 1)
     assert (got[9].rbd, got[9].direccion, got[9].organizador_id) == (None, None, 2)
 
 
@@ -163,7 +171,7 @@ def test_closing_equals_one_by_one(spark):
     df = X.visits(spark, *[X.visit(i, "2026-06-01", status, fecha_lim=limit) for i, status, limit in stored])
     closings = {}
     for i, _, _ in stored:
-        times = sorted(rng.sample(range(len(days)), rng.randint(0, 4)))
+        times = rng.sample(range(len(days)), rng.randint(0, 4))  # days go forward and back
         closings[i] = [(k, rng.choice(S.STATUSES), X.day(days[t])) for k, t in enumerate(times)]
     rows = [(i * 10 + k, i, new, today) for i, cs in closings.items() for k, new, today in cs]
     batch = spark.createDataFrame(rows, "seq long, programada_id long, estatus string, hoy date")
@@ -179,6 +187,7 @@ def test_answers(spark):
     got = {(r.programada_id, r.codigo): r.asiste for r in C.answer_invitation(df, batch).collect()}
     assert (got[1, 2], got[7, 1], got[8, 1], got[9, None]) == (1, None, 2, 1)
     assert len(got) == df.count()
+    assert X.rows(C.unmatched(df, batch, ("programada_id", "codigo")), "programada_id", "codigo") == [(500, 1)]
     flags = batch.withColumnRenamed("asiste", "invitacion")
     assert {r.invitacion for r in C.flag_invitation(df, flags).filter("programada_id = 1 AND codigo = 2").collect()} == {1}
 
@@ -206,6 +215,40 @@ def test_submit_forms_rejects_whole_forms(spark):
     assert X.rows(edit.invalid, "programada_id", "campo") == [(4, "fecha")]
 
 
+def test_an_unfit_form_takes_no_place(spark):
+    stored = X.visits(spark, X.visit(1, "2026-07-01"), X.visit(2, "2026-07-02"))
+    key = F.col("programada_id")
+    form = (
+        form_of(stored)
+        .withColumns({"fecha": F.lit("2026-07-20"), "hora_ini": F.when(key == 1, "99:99:99")})
+        .withColumn("seq", key)
+    )
+    stranger = form.filter("seq = 1").withColumns({"seq": F.lit(9).cast("long"), "programada_id": F.lit(77).cast("long")})
+    edit = editing.submit_forms(stored, form.unionByName(stranger), capacity=1)
+    assert X.rows(edit.decisions, "seq", "decision") == [(2, "aceptada")]
+    assert X.rows(edit.snapshot, "programada_id", "fecha") == [(1, X.day("2026-07-01")), (2, X.day("2026-07-20"))]
+    assert X.rows(edit.unmatched) == [(9, 77)]
+
+
+def test_new_visits_come_last_on_their_date(spark):
+    stored = X.visits(spark, X.visit(1, "2026-07-01", orden=4), X.visit(2, "2026-07-01", orden=9))
+    new = spark.createDataFrame(
+        [(20, 1, X.day("2026-07-01")), (10, 1, X.day("2026-07-01")), (30, 1, X.day("2026-07-02")), (40, 1, None)],
+        "seq long, organizador_id int, fecha date",
+    )
+    after = C.insert_visits(stored, new, X.LIMIT)
+    assert X.rows(after.filter("programada_id > 2"), "programada_id", "fecha", "orden") == [
+        (3, X.day("2026-07-01"), 10), (4, X.day("2026-07-01"), 11), (5, X.day("2026-07-02"), 1), (6, None, None),
+    ]
+
+
+def test_strict_decode_fails(spark):
+    bad = C.transport_encode(X.edge_visits(spark)).withColumn("hora_ini", F.lit("24:00:00"))
+    assert C.undecodable(bad).select("campo").distinct().collect()[0].campo == "hora_ini"
+    with pytest.raises(Exception, match="no date or time in hora_ini"):
+        C.transport_decode(bad, strict=True).collect()
+
+
 def test_add_visits(spark):
     stored = X.visits(spark, X.visit(1, "2026-07-01"))
     new = spark.createDataFrame(

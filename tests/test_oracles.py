@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import compare, connect
+from rondas.plans.catalogue import QUERIES
 
 ORACLES = contract.oracle_sql()
 
@@ -12,10 +13,10 @@ def con(sf_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(ORACLES) == set(contract.queries())
+    assert set(QUERIES) <= set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, sf_dir, con, name):
     assert compare(contract.queries()[name](spark, sf_dir), con, ORACLES[name]) == ""
 

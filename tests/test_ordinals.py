@@ -68,7 +68,7 @@ def test_null_keys_belong_to_nobody(spark):
 
 def test_number_all(spark):
     df = skewed(spark, seed=3)
-    got = number_all(df, ["id"], name="n", hot_rows=300)
+    got = number_all(df, ["id"], name="n", parts=7)
     assert sorted(tuple(r) for r in got.select("id", "n").collect()) == [(i, i + 1) for i in range(3000)]
 
 

