@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from rondas.llm.tables import map_batches
 
-#: Distinct chunks and fragments remembered by a task; forgotten all at once beyond that.
-REMEMBERED = 300_000
-#: Fragments up to so many bytes are merged by looking at all their pairs, longer ones with a heap.
-SHORT = 40
+#: Distinct chunks and pieces a worker remembers; forgotten all at once beyond that.
+REMEMBERED = 200_000
+#: Fragments up to so many bytes are merged side by side in arrays, longer ones alone with a heap.
+SHORT = 64
+#: Texts are encoded together up to so many characters, or one text.
+TOGETHER = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -41,20 +43,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
-class Remembered(dict):
-    """Results of a function of one text, bounded in number."""
-
-    def __init__(self, function):
-        super().__init__()
-        self.function = function
-
-    def __missing__(self, key):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[key] = self.function(key)
-        return value
-
-
 class Encoder:
     """A tokenizer file of kind BPE with a pattern split and byte letters, as its library would apply it."""
 
@@ -98,44 +86,99 @@ class Encoder:
         if self.special:
             longest_first = sorted(self.special, key=len, reverse=True)
             self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")")
-        self.inside = self.inner_pairs()
-        self.fragments = Remembered(self.merge)
-        self.chunks = Remembered(self.chunk)
-
-    def inner_pairs(self) -> set[str]:
-        """Neighbouring byte letters inside some token."""
-        pairs = set()
+        self.certain_cut = self.certain_cuts()
+        self.byte_ids = np.array([self.vocabulary[c] for c in self.letters])
+        self.last_ids = np.array([self.vocabulary[c + self.suffix] for c in self.letters])
+        size = len(self.tokens)
+        keys = np.array([self.vocabulary[a] * size + self.vocabulary[b] for a, b in self.ranks])
+        order = np.argsort(keys)
+        self.pair_keys = keys[order]
+        self.pair_ranks = np.array(list(self.ranks.values()))[order]
+        self.by_rank = np.zeros(max(self.ranks.values(), default=0) + 1, dtype=np.int64)
+        for (left, right), rank in self.ranks.items():
+            self.by_rank[rank] = self.vocabulary[left + right]
+        self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.chunks: dict[str, tuple[bytes, str]] = {}
+
+    def certain_cuts(self) -> np.ndarray:
+        """True at [a, b] where byte b never follows byte a inside a token."""
+        number = {c: i for i, c in enumerate(self.letters)}
+        cut = np.ones((256, 256), dtype=bool)
         for token in self.vocabulary:
-            body = token.removesuffix(self.suffix)
-            pairs.update(body[i : i + 2] for i in range(len(body) - 1))
-        return pairs
-
-    def cut(self, letters: str) -> list[str]:
-        """The piece between its certain cuts."""
-        inside = self.inside
-        cuts = [i for i in range(1, len(letters)) if letters[i - 1 : i + 1] not in inside]
-        return [letters[a:b] for a, b in zip([0, *cuts], [*cuts, len(letters)], strict=True)]
-
-    def merge(self, key: tuple[str, bool]) -> list[str]:
-        """Tokens of a fragment: the merge of lowest rank first, the leftmost of equals. ``key`` says if it ends a piece."""
-        letters, last = key
-        parts = list(letters)
-        if last:
-            parts[-1] += self.suffix
-        return self.merge_short(parts) if len(parts) <= SHORT else self.merge_long(parts)
-
-    def merge_short(self, parts: list[str]) -> list[str]:
-        rank, none = self.ranks.get, len(self.ranks)
-        while len(parts) > 1:
-            ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
-            lowest = min(ranks)
-            if lowest == none:
-                break
-            i = ranks.index(lowest)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def merge_long(self, parts: list[str | None]) -> list[str]:
+            body = [number[c] for c in token.removesuffix(self.suffix)]
+            cut[body[:-1], body[1:]] = False
+        return cut
+
+    def merged_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and where each piece's begin (one more entry than pieces)."""
+        encoded = [p.encode("utf-8") for p in pieces]
+        data = np.frombuffer(b"".join(encoded), dtype=np.uint8)
+        ends = np.cumsum([len(e) for e in encoded])
+        piece = np.repeat(np.arange(len(pieces)), np.diff(ends, prepend=0))
+        symbols = self.byte_ids[data]
+        symbols[ends - 1] = self.last_ids[data[ends - 1]]
+        begins = np.append(True, self.certain_cut[data[:-1], data[1:]] | (piece[1:] != piece[:-1]))
+        starts = np.flatnonzero(begins)
+        lengths = np.diff(np.append(starts, len(data)))
+        fragment = np.repeat(np.arange(len(starts)), lengths)
+        long = lengths > SHORT
+        done = [np.flatnonzero(lengths == 1)]
+        results = [(symbols[starts[done[0]]], piece[starts[done[0]]], starts[done[0]])]
+        for f in np.flatnonzero(long).tolist():
+            at = starts[f]
+            ids = self.merge_long([self.tokens[i] for i in symbols[at : at + lengths[f]].tolist()])
+            results.append((np.array(ids), np.full(len(ids), piece[at]), at + np.arange(len(ids))))
+        results += self.merge_short(symbols, fragment, piece, ~long & (lengths > 1))
+        ids, of, at = (np.concatenate(r) for r in zip(*results, strict=True))
+        order = np.argsort(at, kind="stable")
+        return ids[order], np.searchsorted(of[order], np.arange(len(pieces) + 1))
+
+    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left * len(self.tokens) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], len(self.by_rank))
+
+    def merge_short(self, symbols, fragment, piece, chosen) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Merges in all chosen fragments at once: each round takes the pair of lowest rank, the leftmost of equals."""
+        keep = np.flatnonzero(chosen[fragment])
+        symbols, fragment, piece, place = symbols[keep], fragment[keep], piece[keep], keep
+        none = len(self.by_rank)
+        results = []
+        # rank[i] is that of symbols i and i + 1.
+        rank = np.full(len(symbols), none)
+        if len(symbols):
+            inner = np.flatnonzero(fragment[1:] == fragment[:-1])
+            rank[inner] = self.pair_rank(symbols[inner], symbols[inner + 1])
+        while len(symbols):
+            new = np.append(True, fragment[1:] != fragment[:-1])
+            starts = np.flatnonzero(new)
+            lowest = np.minimum.reduceat(rank, starts)
+            size = np.diff(np.append(starts, len(symbols)))
+            over = np.repeat(lowest == none, size)
+            if over.any():
+                results.append((symbols[over], piece[over], place[over]))
+                left = ~over
+                symbols, fragment, piece, place, rank = symbols[left], fragment[left], piece[left], place[left], rank[left]
+                if not len(symbols):
+                    break
+                size, lowest = size[lowest != none], lowest[lowest != none]
+            at = np.flatnonzero(rank == np.repeat(lowest, size))
+            at = at[np.append(True, fragment[at[1:]] != fragment[at[:-1]])]
+            symbols[at] = self.by_rank[rank[at]]
+            left = np.ones(len(symbols), dtype=bool)
+            left[at + 1] = False
+            moved = at - np.arange(len(at))
+            symbols, fragment, piece, place, rank = symbols[left], fragment[left], piece[left], place[left], rank[left]
+            for i in (moved, moved - 1):
+                i = i[(i >= 0) & (i < len(symbols))]
+                paired = np.zeros(len(i), dtype=bool)
+                inside = i + 1 < len(symbols)
+                paired[inside] = fragment[i[inside] + 1] == fragment[i[inside]]
+                rank[i] = none
+                rank[i[paired]] = self.pair_rank(symbols[i[paired]], symbols[i[paired] + 1])
+        return results
+
+    def merge_long(self, parts: list[str | None]) -> list[int]:
         n, ranks = len(parts), self.ranks
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(ranks[p], i, p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
@@ -153,45 +196,63 @@ class Encoder:
                     heapq.heappush(heap, (ranks[p], i, p))
             if (h := before[i]) >= 0 and (p := (parts[h], parts[i])) in ranks:
                 heapq.heappush(heap, (ranks[p], h, p))
-        return [p for p in parts if p is not None]
-
-    def pieces(self, pieces: list[str]) -> tuple[bytes, str]:
-        """Ids (little-endian, 32 bits each) and decoded text of pieces of the pattern."""
-        found = []
-        for piece in pieces:
-            fragments = self.cut("".join([self.letters[b] for b in piece.encode("utf-8")]))
-            last = len(fragments) - 1
-            for i, fragment in enumerate(fragments):
-                found += self.fragments[fragment, i == last]
-        return np.array([self.vocabulary[t] for t in found], dtype="<u4").tobytes(), " ".join(found)
-
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        return self.pieces(self.pattern.findall(chunk))
-
-    def plain(self, text: str) -> list[tuple[bytes, str]]:
-        """A stretch of text without special tokens: white space separates, so chunks between it are encoded alone."""
+        return [self.vocabulary[p] for p in parts if p is not None]
+
+    def learn_pieces(self, pieces: set[str]) -> None:
+        """Remember ids (little-endian, 32 bits each) and decoded text of pieces of the pattern."""
+        new = list(pieces - self.pieces.keys())
+        if new:
+            ids, starts = self.merged_ids(new)
+            flat, names = ids.astype("<u4").tobytes(), [self.tokens[i] for i in ids.tolist()]
+            starts = starts.tolist()
+            for piece, a, b in zip(new, starts, starts[1:]):
+                self.pieces[piece] = flat[4 * a : 4 * b], " ".join(names[a:b])
+
+    def learn_chunks(self, chunks: set[str]) -> None:
+        """Remember the same of chunks: stretches without white space."""
+        new = chunks - self.chunks.keys()
+        split = {c: [c] if c.isalpha() else self.pattern.findall(c) for c in new}
+        self.learn_pieces({p for pieces in split.values() for p in pieces})
+        for chunk, pieces in split.items():
+            found = [self.pieces[p] for p in pieces]
+            self.chunks[chunk] = b"".join([ids for ids, _ in found]), " ".join([text for _, text in found])
+
+    def stretch(self, text: str) -> tuple[list[str], bool]:
+        """What a stretch of text without special tokens falls into, and whether that is chunks (else pieces).
+
+        White space separates, so the chunks between it can be encoded alone.
+        """
         text = text.replace("\n", " ")
         # In printable text the only white space is the blank, and only the sigma's small form depends on its place.
         if text.isprintable() and "\u03a3" not in text:
-            lower = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
-            chunks = self.chunks
-            return [chunks[c] for c in lower.split()]
+            return (text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()).split(), True
         normal = self.normalizer.normalize_str(text)
         if any(unicodedata.category(c) == "Cn" for c in set(normal)):  # letters newer than the library's tables
-            return [self.pieces([piece for piece, _ in self.splitter.pre_tokenize_str(normal)])]
-        return [self.pieces(self.pattern.findall(normal))]
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids and decoded text of a whole text."""
-        parts = self.special_pattern.split(text) if self.special_pattern and "<" in text else [text]
+            return [piece for piece, _ in self.splitter.pre_tokenize_str(normal)], False
+        return self.pattern.findall(normal), False
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids and decoded text of each whole text."""
+        if len(self.chunks) + len(self.pieces) > REMEMBERED:
+            self.chunks.clear()
+            self.pieces.clear()
+        stretches = []
+        for text in texts:
+            parts = self.special_pattern.split(text) if self.special_pattern and "<" in text else [text]
+            stretches.append([(p, None) if p in self.special else self.stretch(p) for p in parts])
+        self.learn_chunks({c for parts in stretches for found, kind in parts if kind for c in found})
+        self.learn_pieces({p for parts in stretches for found, kind in parts if kind is False for p in found})
         out = []
-        for part in parts:
-            if part in self.special:
-                out.append((np.array([self.special[part]], dtype="<u4").tobytes(), part))
-            elif part:
-                out += self.plain(part)
-        out = [found for found in out if found[0]]
-        return b"".join([ids for ids, _ in out]), " ".join([decoded for _, decoded in out])
+        for parts in stretches:
+            found = []
+            for items, kind in parts:
+                if kind is None:
+                    found.append((np.array([self.special[items]], dtype="<u4").tobytes(), items))
+                else:
+                    known = self.chunks if kind else self.pieces
+                    found += [known[i] for i in items]
+            out.append((b"".join([ids for ids, _ in found]), " ".join([text for ids, text in found if ids])))
+        return out
 
     def decode(self, ids: bytes) -> str:
         return " ".join([self.tokens[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
@@ -208,6 +269,19 @@ def definition(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
+def together(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts in lists of bounded length; a null is an empty text."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text.as_py() or "")
+        size += len(some[-1])
+        if size >= TOGETHER:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def encode(docs: DataFrame, tokenizer: str, *, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all but ``text``), then ``n_tokens``, ``ids`` (32-bit little-endian) and ``decoded``."""
     columns = [c for c in docs.columns if c != "text"] if columns is None else columns
@@ -217,7 +291,7 @@ def encode(docs: DataFrame, tokenizer: str, *, columns: list[str] | None = None)
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
         for batch in batches:
-            found = [own.encode(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [r for texts in together(batch.column(batch.num_columns - 1)) for r in own.encode(texts)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:-1],
