@@ -39,7 +39,7 @@ def _lines(block: W.Block, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     breaks = np.flatnonzero(block.data == 10)
     starts = np.union1d(breaks + 1, block.offsets[:-1])
     starts = starts[starts < len(block.data)]
-    ends = np.append(starts[1:], len(block.data))
+    ends = np.append(starts[1:], len(block.data))[: len(starts)]
     # A line that ends in a break, not at its text's end, stops before it.
     ends = ends - (block.data[ends - 1] == 10)
     ends = np.maximum(ends, starts)
