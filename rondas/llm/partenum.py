@@ -115,8 +115,8 @@ class Sets:
     def signatures(self, bands: Bands, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signatures of the sets of the texts ``wanted`` (a mask), and the text of each."""
         sizes = self.sizes
-        # Smaller sets are similar only to equal ones.
-        wanted = wanted & (sizes * (100 - bands.percent) >= 100)
+        # Smaller sets are similar only to equal ones: a larger one by one element is too different.
+        wanted = wanted & (sizes * (100 - bands.percent) >= bands.percent)
         found = []
         small = wanted & (sizes <= SMALL * 100 // bands.percent)
         if small.any():
