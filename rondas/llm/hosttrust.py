@@ -133,11 +133,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, rounds: int = ROUNDS, fac
         )
     )
     scores = write_out(spread(host_edges(pages, seeds.select("host")), seeds, rounds))
-    # One row.
-    mean = scores.agg(F.expr("coalesce(sum(distrust) div greatest(count(1), 1), 0)").alias("mean"))
-    judged = scores.join(F.broadcast(mean)).select(
-        "host", "trust", "distrust", F.expr(f"distrust > trust AND distrust >= {factor} * mean").alias("bad")
-    )
+    mean = scores.agg(F.expr("coalesce(sum(distrust) div greatest(count(1), 1), 0)")).scalar()
+    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= factor * mean)
+    judged = scores.select("host", "trust", "distrust", bad.alias("bad"))
     return ruled.join(judged, "host", "left").select(
         "page_id",
         "host",

@@ -26,25 +26,29 @@ TERMS = 64
 SEED = "mix"
 
 
+def _sizes(docs: DataFrame) -> DataFrame:
+    return docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+
+
 def temperature_rates(docs: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
     """(source, rate): mean copies of a source's documents that bring its characters to their target share.
 
     Targets are proportional to characters ** ``temperature``; their sum is the characters there are.
     """
-    sizes = docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
-    # One row.
-    total = sizes.agg(F.sum("chars").alias("all"), F.sum(F.pow("chars", F.lit(temperature))).alias("parts"))
-    rate = F.expr(f"CASE WHEN chars > 0 THEN all * pow(chars, {temperature}) / parts / chars ELSE 0.0D END")
-    return sizes.join(F.broadcast(total)).select("source", rate.cast("double").alias("rate"))
+    sizes = _sizes(docs)
+    total = sizes.agg(F.sum("chars")).scalar()
+    parts = sizes.agg(F.sum(F.pow("chars", F.lit(temperature)))).scalar()
+    rate = total * F.pow("chars", F.lit(temperature)) / parts / F.col("chars")
+    return sizes.select("source", F.when(F.col("chars") > 0, rate).otherwise(0.0).alias("rate"))
 
 
 def weight_rates(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """(source, rate) for given weights (source, weight); sources without one have rate 0."""
-    sizes = docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
-    shares = sizes.join(weights.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
-    total = shares.agg(F.sum("chars").alias("all"), F.sum("weight").alias("parts"))
-    rate = F.expr("CASE WHEN chars > 0 AND weight > 0 THEN all * weight / parts / chars ELSE 0.0D END")
-    return shares.join(F.broadcast(total)).select("source", rate.cast("double").alias("rate"))
+    """(source, rate) for given weights (source, weight), one per source; sources without one have rate 0."""
+    given = weights.select(F.col("source").alias("_source"), F.col("weight").cast("double").alias("weight"))
+    shares = _sizes(docs).join(given, F.col("source").eqNullSafe(F.col("_source")), "left")
+    total, parts = shares.agg(F.sum("chars")).scalar(), shares.agg(F.sum("weight")).scalar()
+    rate = total * F.col("weight") / parts / F.col("chars")
+    return shares.select("source", F.when((F.col("chars") > 0) & (F.col("weight") > 0), rate).otherwise(0.0).alias("rate"))
 
 
 def with_sums(rates: DataFrame) -> DataFrame:
@@ -62,23 +66,30 @@ def with_sums(rates: DataFrame) -> DataFrame:
     )
 
 
-def replicate(docs: DataFrame, rates: DataFrame, *, seed: str = SEED) -> DataFrame:
-    """``docs`` with each row as often as drawn, in an order mixed over all sources; ``copy`` counts from 1."""
-    columns = docs.columns
+def replicate(docs: DataFrame, rates: DataFrame, *, seed: str = SEED, copy: str = "copy") -> DataFrame:
+    """``docs`` with each row as often as drawn, in an order mixed over all sources; column ``copy`` counts from 1.
+
+    A column of that name in ``docs`` is replaced.
+    """
+    names = [c for c in docs.columns if c != copy]
+    at = {c: f"d{i}" for i, c in enumerate(names)}
     # One row per source: joined by key, and by key alone, so a source of any size is no matter.
-    sums = with_sums(rates).select(F.col("source").alias("_source"), "parts", "sums")
+    sums = with_sums(rates).select(F.col("source").alias("drawn_from"), "parts", "sums")
+    rows = docs.select(*[F.col(f"`{c}`").alias(d) for c, d in at.items()])
+    text, doc_id, source = (F.col(at[c]) for c in ("text", "doc_id", "source"))
+    # Parts and the document's name; a part's number in [0, 1) has 48 bits of their MD5.
+    name = F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
     drawn = (
-        docs.withColumn("_digest", F.md5(F.coalesce(F.col("text"), F.lit(""))))
-        .join(sums, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_u", F.expr("transform(sequence(1, parts), j -> concat_ws('|', '" + seed + "', coalesce(CAST(doc_id AS STRING), ''), _digest, j))"))
-        .withColumn(
-            "_copies",
-            F.expr(
-                f"aggregate(_u, 0, (n, t) -> n + size(filter(sums, s -> s <= CAST(conv(substring(md5(t), 1, 12), 16, 10) AS DOUBLE) / {float(1 << 48)!r}D)))"
-            ),
-        )
-        .filter("_copies > 0")
-        .withColumn("copy", F.explode(F.expr("sequence(1, _copies)")))
-        .withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "_digest", "copy"))
+        "aggregate(sequence(1, parts), 0, (n, j) -> n + size(filter(sums, s -> s <= "
+        f"CAST(conv(substring(md5(concat_ws('|', name, j)), 1, 12), 16, 10) AS DOUBLE) / {float(1 << 48)!r}D)))"
+    )
+    copies = (
+        rows.join(sums, source.eqNullSafe(F.col("drawn_from")))
+        .withColumn("name", name)
+        .withColumn("copies", F.expr(drawn))
+        .filter("copies > 0")
+        .withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
+        .withColumn("place", F.xxhash64("name", "copy"))
     )
-    return drawn.repartition("_order").sortWithinPartitions("_order").select(*columns, F.col("copy").cast("int").alias("copy"))
+    mixed = copies.repartition("place").sortWithinPartitions("place")
+    return mixed.select(*[F.col(d).alias(c) for c, d in at.items()], F.col("copy").cast("int").alias(copy))

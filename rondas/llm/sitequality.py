@@ -210,9 +210,9 @@ def site_posteriors(scored: DataFrame, kinds: int) -> DataFrame:
     paths = write_out(scored.groupBy("host", "path").agg(*sums, F.count(F.lit(1)).alias("n")))
     hosts = paths.groupBy("host").agg(*[F.sum(f"t{i}").alias(f"ht{i}") for i in range(kinds)], F.sum("n").alias("hn"))
     hosts = write_out(hosts)
-    # One row.
-    whole = hosts.agg(*[(F.sum(f"ht{i}") / F.sum("hn") / MILLION).alias(f"g{i}") for i in range(kinds)])
-    hosts = hosts.join(F.broadcast(whole))
+    hosts = hosts.withColumns(
+        {f"g{i}": hosts.agg(F.sum(f"ht{i}") / F.sum("hn") / MILLION).scalar() for i in range(kinds)}
+    )
     at_host = [worth(hosts, f"ht{i}", "hn", f"g{i}") for i in range(kinds)]
     hosts = hosts.selectExpr(
         "host", *[f"g{i}" for i in range(kinds)],
