@@ -5,7 +5,7 @@ from the tree of domains (a host and the domain above it, both ways). Trust star
 at hosts whose pages the rules allow and follows edges; distrust starts at hosts whose
 pages they block and follows edges backwards. Both are personalised PageRank, in
 whole numbers, so that the order of summing cannot change a score. A host is blocked
-when its distrust exceeds its trust and is ``BLOCK_FACTOR`` times the mean or more.
+when its distrust exceeds its trust and is ``BLOCK_FACTOR`` times the mean of all hosts or more.
 
 DataFrame functions only. Edges are counted per pair of hosts before they are joined,
 contributions are summed before they are shuffled, and ranks are written to the
@@ -133,8 +133,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, rounds: int = ROUNDS, fac
         )
     )
     scores = write_out(spread(host_edges(pages, seeds.select("host")), seeds, rounds))
-    mean = scores.agg(F.expr("coalesce(sum(distrust) div greatest(count(1), 1), 0)")).scalar()
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= factor * mean)
+    total, hosts = scores.agg(F.sum("distrust")).scalar(), seeds.agg(F.count(F.lit(1))).scalar()
+    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * hosts >= factor * total)
     judged = scores.select("host", "trust", "distrust", bad.alias("bad"))
     return ruled.join(judged, "host", "left").select(
         "page_id",

@@ -109,8 +109,8 @@ def host_trust() -> str:
         FROM rank_{H.ROUNDS} GROUP BY src),
     whole AS (SELECT host, coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust FROM scores)
     SELECT page_id, host, path, rule, coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust,
-           coalesce(listed, CASE WHEN distrust > trust AND distrust >= {H.BLOCK_FACTOR} * (
-               SELECT coalesce(sum(distrust) // greatest(count(*), 1), 0) FROM whole) THEN 'block' ELSE 'allow' END) AS verdict
+           coalesce(listed, CASE WHEN distrust > trust AND 
+               distrust * (SELECT count(*) FROM seeds) >= {H.BLOCK_FACTOR} * (SELECT sum(distrust) FROM whole) THEN 'block' ELSE 'allow' END) AS verdict
     FROM ruled LEFT JOIN whole USING (host)"""
 
 
