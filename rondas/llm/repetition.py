@@ -23,7 +23,7 @@ from rondas.llm import words as W
 from rondas.llm.tables import map_batches
 
 #: Percent of word characters allowed inside repeated n-grams, by n.
-GRAM_LIMITS = {5: 30, 7: 25, 10: 20}
+GRAM_LIMITS = {5: 30, 7: 30, 10: 30}
 #: Percent of word characters allowed in lines equal to an earlier line.
 LINE_LIMIT = 30
 MIN_WORDS = 20
