@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rondas.llm import hosttrust as H
+from rondas.llm import licences as L
 from rondas.llm import poisson as P
 from rondas.llm import repetition as R
 
@@ -114,6 +115,60 @@ def host_trust() -> str:
     FROM ruled LEFT JOIN whole USING (host)"""
 
 
+def license_scan() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    split = f"regexp_extract_all(translate(%s, '{H.UPPER}', '{H.LOWER}'), '{word}')"
+    templates = ", ".join(f"({t}, '{label}', '{text}')" for t, (label, text) in enumerate(L.TEMPLATES))
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in L.PHRASES.items())
+    size = "len(ws)"
+
+    def grams(n: str) -> str:
+        """Places from 0 and the n words from there."""
+        return f"""unnest(range(0, {size} - {n} + 1)) AS place,
+               unnest(list_transform(range(0, {size} - {n} + 1), lambda i: array_to_string(ws[i + 1:i + {n}], ' '))) AS g"""
+
+    last = L.GRAM - 1
+    return f"""
+    WITH templates AS (
+        SELECT t, label, {split % "txt"} AS ws FROM (VALUES {templates}) v(t, label, txt)),
+    phrases(p, label, n) AS (VALUES {phrases}),
+    texts AS (SELECT row_number() OVER () AS r, doc_id, {split % "coalesce(text, '')"} AS ws FROM documents),
+    base_places AS (
+        SELECT r, place, label
+        FROM (SELECT r, n, label, p, {grams("n")} FROM texts, phrases WHERE len(ws) >= n) WHERE g = p),
+    base AS (
+        SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS found
+        FROM base_places GROUP BY r),
+    votes AS (
+        SELECT DISTINCT r, t, a.place AS start, b.place
+        FROM (SELECT r, {grams(str(L.GRAM))} FROM texts WHERE len(ws) >= {L.GRAM}) a
+        JOIN (SELECT t, {grams(str(L.GRAM))} FROM templates) b USING (g)),
+    lines AS (
+        SELECT r, t, start - place AS diagonal, min(start) AS first, max(start) AS last, list(DISTINCT place) AS places
+        FROM votes GROUP BY r, t, start - place),
+    marked AS (
+        SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER w) <= {L.DRIFT} AND first <= lag(last) OVER w + {L.GRAM + L.DRIFT}
+                       THEN 0 ELSE 1 END AS fresh
+        FROM lines WINDOW w AS (PARTITION BY r, t ORDER BY first, diagonal)),
+    numbered AS (
+        SELECT *, sum(fresh) OVER (PARTITION BY r, t ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS stretch FROM marked),
+    merged AS (
+        SELECT r, t, min(first) AS first, max(last) + {L.GRAM} AS last,
+               len(list_distinct(flatten(list_transform(flatten(list(places)), lambda p: range(p, p + {last} + 1))))) AS covered
+        FROM numbered GROUP BY r, t, stretch),
+    spans AS (
+        SELECT r, label, covered / len(ws) AS coverage,
+               100 * covered >= {L.COVERAGE} * len(ws)
+               AND 100 * (last - first) <= {200 - L.COVERAGE} * len(ws) + {100 * L.DRIFT} AS verified
+        FROM merged JOIN templates USING (t)),
+    voted AS (SELECT r, list(DISTINCT label) FILTER (verified) AS labels, max(coverage) AS coverage FROM spans GROUP BY r)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+           array_to_string(coalesce(found, []), ',') AS base_labels,
+           array_to_string(list_sort(list_distinct(list_concat(coalesce(found, []), coalesce(labels, [])))), ',') AS labels,
+           CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(coverage, 0.0) END::DOUBLE AS score
+    FROM texts LEFT JOIN base USING (r) LEFT JOIN voted USING (r)"""
+
+
 def largest_products(k: int = 5) -> str:
     return f"""
     WITH vectors AS (
@@ -193,6 +248,7 @@ ORACLES: dict[str, str] = {
     "op1_host_trust": host_trust(),
     "op3_repetition_rules": repetition_rules(),
     "op5_partenum_join": near_duplicates(),
+    "op6_license_scan": license_scan(),
     "op7_pivot_search": largest_products(),
     "op8_poisson_mix": poisson_mix(),
     "op9_recompression": repeats_removed(),
