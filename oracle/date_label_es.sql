@@ -1,2 +1,2 @@
 SELECT programada_id, fecha, etiqueta_fecha AS etiqueta
-FROM visits
+FROM visits JOIN labelled ON etiquetada = programada_id

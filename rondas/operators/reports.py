@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rondas import schema as S
 from rondas.functions.dates import date_label_es, in_month
-from rondas.operators.attendance import answer_label, attendance_matrix, attendance_roster
+from rondas.operators.attendance import answer_label, attendance_lists, attendance_matrix, attendance_roster
 from rondas.operators.lookups import with_commune, with_slot_label
 from rondas.operators.visits import labelled_columns
 
@@ -84,7 +84,12 @@ def visit_report(
         fields += ["asistentes_prog", "observaciones"]
     rows = visits.select("programada_id", *fields)
     if user != S.PUBLIC_USER:
-        mine = attendance.filter(F.col("codigo") == user).select("programada_id", answer_label().alias("_respuesta"))
+        # Read off the same lists as the roster, so attendance is read and grouped once.
+        mine = (
+            attendance_lists(shown)
+            .filter(F.array_contains("codigos", user))
+            .select("programada_id", answer_label().alias("_respuesta"))
+        )
         own_name = universities.filter(F.col("codigo") == user).select("universidad").scalar()
         rows = rows.join(mine, "programada_id", "left").withColumn("_usuario", own_name)
     rows = _formatted(rows, communes, slots, strict=False)
