@@ -38,17 +38,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_out(df: DataFrame) -> DataFrame:
+def write_out(df: DataFrame, *, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read that.
 
     For large intermediate results: compressed, and a later pass over a few
     columns reads only those. Small ones are cheaper through ``cut_lineage``.
-    The size Spark reads from the files decides how it is joined.
+    The size Spark reads from the files decides how it is joined. With ``keep`` the table
+    outlives the innermost ``scratch`` block.
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
+    blocks = _open[:-1] if keep else _open
+    if blocks:
+        blocks[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
