@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rondas.sources.shared import write_out
+from rondas.sources.shared import scratch, write_out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,8 +14,14 @@ def components(links: DataFrame) -> DataFrame:
     Each round gives a node the least name among its own, its neighbours' and
     the holder's of that name, so long chains shorten by jumps. A node's
     neighbours are reduced before they are shuffled, whatever their number. Every
-    round is written to the shared folder; only a count of changes comes to the driver.
+    round is written to the shared folder, and removed when the names are final; only a count of changes
+    comes to the driver.
     """
+    with scratch(links.sparkSession):
+        return write_out(_names(links), keep=True)
+
+
+def _names(links: DataFrame) -> DataFrame:
     edges = write_out(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     names = write_out(edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
     while True:

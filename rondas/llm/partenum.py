@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from rondas.llm import words as W
 from rondas.llm.components import components
 from rondas.llm.tables import identity, map_batches
-from rondas.sources.shared import write_out
+from rondas.sources.shared import scratch, write_out
 
 BAND_RATIO = 1.25
 SKETCH_LONGS = 16
@@ -262,6 +262,15 @@ def components_of_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame
             *[F.first(s).alias(s) for s in sketch],
         )
     )
+    nodes = write_out(nodes)
+    with scratch(docs.sparkSession):  # all but the names of components goes
+        names = write_out(components(_links(docs, nodes, n, percent)), keep=True)
+    return sets, nodes.join(names, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+
+
+def _links(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links enough to connect what is connected."""
+    sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
     sign = Over.partitionBy("sign")
     shared = (
         signature_rows(docs, n, percent)
@@ -271,7 +280,6 @@ def components_of_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame
         .distinct()
     )
     shared = write_out(shared)
-    nodes = write_out(nodes)
     involved = nodes.join(shared.select("node").distinct(), "node", "left_semi")
     members = write_out(shared.join(involved.select("node", "copies", "size", *sketch), "node"))
     wanted = involved.select("at.rid", "at.tag").distinct()
@@ -323,11 +331,7 @@ def components_of_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame
 
     # Against all that are left.
     rest = write_out(named(links))
-    links = links.union(verified(paired(rest, rest, "a.node < b.node AND a.component <> b.component")))
-
-    return sets, nodes.join(components(links), "node", "left").select(
-        "node", "least", F.coalesce("component", "node").alias("component")
-    )
+    return links.union(verified(paired(rest, rest, "a.node < b.node AND a.component <> b.component")))
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
