@@ -7,7 +7,7 @@ go to partitions by another hash and are ordered by it inside them, so neighbour
 come from all sources.
 
 Draws depend on a row's own id and text alone, so a lost task repeats them; the rates are
-one small row per source. Defined results: a null source is a source of its own; null ids, null texts
+one small row per source, written to the shared folder. Defined results: a null source is a source of its own; null ids, null texts
 and empty texts are drawn like others (their weight in characters is 0); repeated rows get the same
 count; a source without characters has rate 0; an empty table gives no rows. All columns are kept.
 """
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rondas.sources.shared import write_out
+
 #: Weights are characters to this power: 1 keeps the mix, 0 makes all sources equal.
 TEMPERATURE = 0.5
 #: Rates above are cut into parts of at most this, each drawn by itself (exp(-rate) would vanish).
@@ -73,8 +75,8 @@ def replicate(docs: DataFrame, rates: DataFrame, *, seed: str = SEED, copy: str
     """
     names = [c for c in docs.columns if c != copy]
     at = {c: f"d{i}" for i, c in enumerate(names)}
-    # One row per source: joined by key, and by key alone, so a source of any size is no matter.
-    sums = with_sums(rates).select(F.col("source").alias("drawn_from"), "parts", "sums")
+    # One row per source, written out: Spark sees its size and, while it is small, leaves the documents where they are.
+    sums = write_out(with_sums(rates).select(F.col("source").alias("drawn_from"), "parts", "sums"))
     rows = docs.select(*[F.col(f"`{c}`").alias(d) for c, d in at.items()])
     text, doc_id, source = (F.col(at[c]) for c in ("text", "doc_id", "source"))
     # Parts and the document's name; a part's number in [0, 1) has 48 bits of their MD5.
