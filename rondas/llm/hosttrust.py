@@ -7,6 +7,10 @@ pages they block and follows edges backwards. Both are personalised PageRank, in
 whole numbers, so that the order of summing cannot change a score. A host is blocked
 when its distrust exceeds its trust and is ``BLOCK_FACTOR`` times the mean of all hosts or more.
 
+Each step rounds down, so the whole is as many units as the graph needs: ``SCALE`` where that is ``SPARE`` times the
+pages at seeds times the links, ``FINE_SCALE`` in every larger graph. Scores are compared in these units; the columns
+``trust`` and ``distrust`` give them in whole billionths, rounded down.
+
 DataFrame functions only. Edges are counted per pair of hosts before they are joined,
 contributions are summed before they are shuffled, and ranks are written to the
 shared folder every few rounds.
@@ -18,6 +22,7 @@ has no links. Empty tables give no rows; other columns are left out.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,8 +34,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
-#: Whole-number scale of the scores; they add up to at most this.
+#: Whole-number scale of the scores of small graphs, and of those in the result; they add up to at most this.
 SCALE = 1_000_000_000
+#: Scale for all other graphs; a score times 100 fits DECIMAL(38, 0), and no product of two scores is made.
+FINE_SCALE = 10**30
+SPARE = 1000
+WHOLE = "decimal(38, 0)"
 DAMPING = 85
 ROUNDS = 10
 WRITE_EVERY = 5
@@ -83,8 +92,26 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return every.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) from edges (src, dst, weight) and seeds (host, trusted, blocked), all weights whole."""
+def fitting_scale(edges: DataFrame, seeds: DataFrame) -> int:
+    """Units that the whole trust is dealt in, so that rounding down takes nothing that counts."""
+    links = edges.agg(F.sum("weight")).first()[0] or 0
+    pages = max(seeds.agg(F.sum("trusted"), F.sum("blocked")).first(), key=lambda n: n or 0) or 0
+    return SCALE if SPARE * pages * links <= SCALE else FINE_SCALE
+
+
+def floored(number: Column, by: Column) -> Column:
+    """``number`` divided by ``by``, rounded down; ``div`` has room for a bigint alone."""
+    return ((number - number % by) / by).cast(WHOLE)
+
+
+def portion(number: Column, part: Column, every: Column) -> Column:
+    """``number * part / every`` rounded down, without the product, which may not fit."""
+    number, part, every = (c.cast(WHOLE) for c in (number, part, every))
+    return (part * floored(number, every) + floored(part * (number % every), every)).cast(WHOLE)
+
+
+def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, scale: int = SCALE) -> DataFrame:
+    """(host, trust, distrust) in units of 1 / ``scale``, from edges (src, dst, weight) and seeds (host, trusted, blocked), all weights whole."""
     forward = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight")
     backward = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     both = forward.unionByName(backward)
@@ -96,25 +123,26 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFram
     # Two rows: the mass of each kind.
     totals = starts.groupBy("kind").agg(F.sum("mass").alias("all"))
     start = write_out(
-        starts.join(totals, "kind").select("kind", "host", F.expr(f"CAST(mass AS DECIMAL(38, 0)) * {SCALE} div all").cast("long").alias("rank"))
+        starts.join(totals, "kind").select("kind", "host", portion(F.lit(Decimal(scale)), F.col("mass"), F.col("all")).alias("rank"))
     )
     rank = start
     for step in range(1, rounds + 1):
         flow = (
             rank.withColumnRenamed("host", "src")
             .join(both, ["kind", "src"])
-            .select("kind", F.col("dst").alias("host"), F.expr("CAST(rank AS DECIMAL(38, 0)) * weight div total").cast("long").alias("rank"))
+            .select("kind", F.col("dst").alias("host"), portion(F.col("rank"), F.col("weight"), F.col("total")).alias("rank"))
         )
         rank = (
-            flow.select("kind", "host", F.lit(0).cast("long").alias("seed"), "rank")
-            .unionByName(start.select("kind", "host", F.col("rank").alias("seed"), F.lit(0).cast("long").alias("rank")))
+            flow.select("kind", "host", F.lit(0).cast(WHOLE).alias("seed"), "rank")
+            .unionByName(start.select("kind", "host", F.col("rank").alias("seed"), F.lit(0).cast(WHOLE).alias("rank")))
             .groupBy("kind", "host")
-            .agg(F.expr(f"((100 - {DAMPING}) * sum(seed) + {DAMPING} * sum(rank)) div 100").alias("rank"))
+            .agg(F.expr(f"CAST((100 - {DAMPING}) * sum(seed) + {DAMPING} * sum(rank) AS {WHOLE})").alias("rank"))
+            .select("kind", "host", floored(F.col("rank"), F.lit(100).cast(WHOLE)).alias("rank"))
         )
         if step % WRITE_EVERY == 0:
             rank = write_out(rank)
     return rank.groupBy("host").agg(
-        *[F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0)).alias(k) for k in ("trust", "distrust")]
+        *[F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0)).cast(WHOLE).alias(k) for k in ("trust", "distrust")]
     )
 
 
@@ -132,10 +160,18 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, rounds: int = ROUNDS, fac
             F.count(F.when(F.col("listed") == "block", 1)).alias("blocked"),
         )
     )
-    scores = write_out(spread(host_edges(pages, seeds.select("host")), seeds, rounds))
-    total, hosts = scores.agg(F.sum("distrust")).scalar(), seeds.agg(F.count(F.lit(1))).scalar()
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * hosts >= factor * total)
-    judged = scores.select("host", "trust", "distrust", bad.alias("bad"))
+    edges = write_out(host_edges(pages, seeds.select("host")))
+    scale = fitting_scale(edges, seeds)
+    scores = write_out(spread(edges, seeds, rounds, scale))
+    # The least score that ``hosts`` times is ``factor`` times the sum or more: the product itself may not fit.
+    hosts = seeds.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).cast(WHOLE)).scalar()
+    total = scores.agg((F.sum("distrust") * factor).cast(WHOLE)).scalar()
+    least = floored((total + hosts - 1).cast(WHOLE), hosts)
+    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least)
+    unit = F.lit(Decimal(scale // SCALE)).cast(WHOLE)
+    judged = scores.select(
+        "host", *[floored(F.col(k), unit).cast("long").alias(k) for k in ("trust", "distrust")], bad.alias("bad")
+    )
     return ruled.join(judged, "host", "left").select(
         "page_id",
         "host",

@@ -274,6 +274,29 @@ def test_distrust_runs_back_over_links(spark):
     assert got["far.org"].verdict == "allow"
 
 
+def test_trust_passes_a_domain_with_more_subdomains_than_units(spark):
+    """300,000 other pages leave one seed 3,333 billionths; 2,000 subdomains get less than one each, and pass it on."""
+    subs, others = 2000, 300_000
+    rows = [("http://seed.com/", '<a href="//hot.org/">')] + [(f"http://s{i}.hot.org/", '<a href="//target.net/">') for i in range(subs)]
+    few = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    many = spark.range(others).selectExpr("id + 10000 AS page_id", "'http://big.com/' AS url", "CAST(NULL AS STRING) AS html")
+    pages = few.unionByName(many)
+    seeds = {"seed.com": 1 / (others + 1)}
+    out = {"seed.com": {"hot.org": 1}, "hot.org": dict.fromkeys([f"s{i}.hot.org" for i in range(subs)], 1)}
+    out |= {f"s{i}.hot.org": {"hot.org": 1, "target.net": 1} for i in range(subs)}
+    rank = dict(seeds)
+    for _ in range(hosttrust.ROUNDS):
+        flow = {h: 0.15 * m for h, m in seeds.items()}
+        for src, mass in rank.items():
+            for dst, weight in out.get(src, {}).items():
+                flow[dst] = flow.get(dst, 0) + 0.85 * mass * weight / sum(out[src].values())
+        rank = flow
+    target = spark.createDataFrame([(-1, "http://target.net/", None)], "page_id long, url string, html string")
+    got = {r.host: r for r in hosttrust.judge_urls(pages.unionByName(target), queries.URL_RULES).filter("page_id < 10000").collect()}
+    assert got["target.net"].trust == int(rank["target.net"] * 1e9) > 100
+    assert got["seed.com"].trust == int(rank["seed.com"] * 1e9)
+
+
 # --------------------------------------------------------------- language ID
 
 
