@@ -4,9 +4,9 @@ A window is ``WINDOW`` bytes of a text. Filters of several widths slide over its
 response, and a softmax layer turns those into probabilities of the languages. A text's windows
 cover it from start to end; its language has the greatest mean log probability.
 
-The network is trained in numpy on the driver, on a bounded sample of labelled texts: about
-``PER_LANGUAGE`` texts of each of the ``MAX_LANGUAGES`` most frequent languages at most, ``WINDOWS_EACH``
-windows of each, all chosen by hashes of the id. Predictions use the text alone.
+The network is trained in numpy on the driver, on a bounded sample of labelled texts of every language: about
+``PER_LANGUAGE`` texts of each, or as many as make ``SAMPLE_TEXTS`` in all where languages are many, but one at least;
+``WINDOWS_EACH`` windows of each text, all chosen by hashes of id and text. Predictions use the text alone.
 
 A filter over bytes is a sum of table entries, one per byte under it. For prediction, entries
 of neighbouring bytes are added beforehand, so that a window needs two look-ups per byte.
@@ -27,15 +27,18 @@ from pyspark.sql import functions as F
 
 from rondas.llm import words as W
 from rondas.llm.tables import map_batches
+from rondas.sources.shared import write_out
 
 WINDOW = 64
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
 PER_LANGUAGE = 600
-MAX_LANGUAGES = 64
+SAMPLE_TEXTS = 38_400
 WINDOWS_EACH = 8
 EPOCHS = 6
 BATCH = 128
+#: Probabilities held at once when predicting: windows times languages.
+HELD = 1 << 20
 RATE = 0.01
 SEED = 11
 
@@ -150,48 +153,56 @@ class Predictor:
     def predict(self, block: W.Block) -> tuple[np.ndarray, np.ndarray]:
         """Language number and mean probability of each text (-1 and 0 for an empty one)."""
         windows, first = text_windows(block)
-        texts = len(first) - 1
-        if not len(windows):
-            return np.full(texts, -1), np.zeros(texts)
-        sure = self.network.probabilities(self.hidden(windows)).astype(np.float64)
         counts = np.diff(first)
-
-        def mean(values: np.ndarray) -> np.ndarray:
-            sums = np.vstack([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
-            return (sums[first[1:]] - sums[first[:-1]]) / np.maximum(counts, 1)[:, None]
-
-        best = mean(np.log(np.maximum(sure, 1e-9))).argmax(axis=1)
-        score = mean(sure)[np.arange(texts), best]
-        return np.where(counts > 0, best, -1), np.where(counts > 0, np.clip(score, 0, 1), 0.0)
-
-
-def labelled_windows(docs: DataFrame, per_language: int, max_languages: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(counts)), counts)
+        best, score = np.full(len(counts), -1), np.zeros(len(counts))
+        names = len(self.network.languages)
+        step = max(1, HELD // max(names, 1))
+        open_text, open_sums = -1, np.zeros((2, names))  # a text that goes on in the next windows
+        for lo in range(0, len(windows), step):
+            sure = self.network.probabilities(self.hidden(windows[lo : lo + step])).astype(np.float64)
+            some = owner[lo : lo + step]
+            starts = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
+            logs, sums = np.add.reduceat(np.log(np.maximum(sure, 1e-9)), starts, axis=0), np.add.reduceat(sure, starts, axis=0)
+            held = some[starts]
+            if held[0] == open_text:
+                logs[0] += open_sums[0]
+                sums[0] += open_sums[1]
+            open_text, open_sums = held[-1], np.stack([logs[-1], sums[-1]])
+            # A text that goes on is named again when its last window is in.
+            best[held] = (logs / counts[held, None]).argmax(axis=1)
+            score[held] = np.clip(sums[np.arange(len(held)), best[held]] / counts[held], 0, 1)
+        return best, score
+
+
+def labelled_windows(docs: DataFrame, per_language: int, sample_texts: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, windows and their labels from a bounded sample of the documents that are not held out."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(
         F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     )
-    # One row per language, the most frequent ones.
-    counts = dict(
-        map(tuple, known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
-    )
-    if not counts:
+    place_in = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    # One row per language, read at the driver and joined.
+    counts = write_out(known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min(place_in).alias("least")))
+    languages = sorted(r.lang for r in counts.select("lang").collect())
+    if not languages:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, int)
-    share = F.coalesce(
-        *[F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * per_language / n))) for lang, n in counts.items()], F.lit(0.0)
-    )
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    each = max(1, min(per_language, sample_texts // len(languages)))
+    # The text of least hash is always in, so that no language is without one.
+    share = F.greatest(F.col("least") + 1, F.least(F.lit(1.0), 1.2 * each / F.col("rows")) * (1 << 30))
+    limits = counts.select(F.col("lang").alias("of"), share.alias("share"))
+    chosen = known.select("lang", "doc_id", "text").join(limits, F.col("lang") == F.col("of")).filter(place_in < F.col("share"))
     place = "1 + pmod(xxhash64(doc_id, i), greatest(octet_length(text) - {0}, 1))".format(WINDOW - 1)
     windows = F.expr(f"transform(sequence(1, {WINDOWS_EACH}), i -> substring(encode(text, 'UTF-8'), CAST({place} AS INT), {WINDOW}))")
-    rows = chosen.select("lang", windows.alias("w")).limit(2 * per_language * len(counts)).collect()
-    languages = sorted(counts)
+    # Rows with the same id and text share a hash: one of them is enough.
+    rows = chosen.select("lang", windows.alias("w")).distinct().collect()
     number = {lang: i for i, lang in enumerate(languages)}
     data = [(bytes(w), number[r.lang]) for r in rows for w in r.w if w]
     flat = np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for w, _ in data), dtype=np.uint8).reshape(-1, WINDOW)
     return languages, flat, np.array([label for _, label in data], dtype=int)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Network:
-    languages, windows, labels = labelled_windows(docs, per_language, max_languages)
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_texts: int = SAMPLE_TEXTS) -> Network:
+    languages, windows, labels = labelled_windows(docs, per_language, sample_texts)
     network = Network(languages)
     if len(windows):
         # Rows arrive in no fixed order; training starts from one.
@@ -202,7 +213,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int =
 
 def predict(docs: DataFrame, network: Network) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)  # some 300 KB, whatever the data
+    shared = docs.sparkSession.sparkContext.broadcast(network)  # some 300 KB, and 150 bytes per language
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Predictor(shared.value)

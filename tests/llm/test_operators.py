@@ -314,6 +314,39 @@ def test_held_out_accuracy(spark):
     assert {r.held_out for r in langid.identify(df.filter("doc_id = 6")).collect()} == {True}
 
 
+def test_every_language_is_learned(spark):
+    """Seventy languages of an alphabet of their own each; the 65th and rarer ones are found as well."""
+    letters = [[chr(0x4E00 + 64 * n + i) for i in range(8)] for n in range(70)]
+    rng = random.Random(4)
+    rows = [
+        (d, "".join(rng.choice(letters[n]) for _ in range(200)), f"l{n:02}")
+        for d, n in enumerate(n for n in range(70) for _ in range(40 if n < 64 else 24))
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(df).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert {r.lang_pred for r in found} == {f"l{n:02}" for n in range(70)}
+    rare = [r for r in found if r.lang >= "l64" and r.held_out]
+    assert len(rare) > 10 and sum(r.lang == r.lang_pred for r in rare) / len(rare) >= 0.9
+
+
+def test_sample_has_a_text_of_each_language(spark):
+    rows = [(d, f"text {d} of it", f"l{d % 50}" if d < 2000 else f"rare{d}") for d in range(2030)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    wanted = {r.lang for r in df.filter("crc32(CAST(doc_id AS STRING)) % 5 <> 0").select("lang").distinct().collect()}
+    languages, windows, labels = langid.labelled_windows(df, 600, 160)
+    assert set(languages) == wanted and set(labels) == set(range(len(languages)))
+    assert len(windows) <= 2 * 160 * langid.WINDOWS_EACH
+
+
+def test_prediction_in_parts(monkeypatch):
+    network = langid.Network(["a", "b", "c"])
+    block = next(iter(W.blocks(pa.array(["x" * 300, "", "yz" * 500, "w", None, "ab" * 64]))))
+    whole = langid.Predictor(network).predict(block)
+    monkeypatch.setattr(langid, "HELD", 6)
+    parts = langid.Predictor(network).predict(block)
+    assert list(whole[0]) == list(parts[0]) and np.allclose(whole[1], parts[1])
+
+
 # -------------------------------------------------------------- site quality
 
 
