@@ -8,15 +8,15 @@ the distance of what it still seeks, and by the triangle inequality it must look
 rings that come within that distance: the annuli to expand. Inside a cell, rows are sorted by
 distance, and a query takes only the rows within its bound.
 
-Pivots and ring borders are fitted on a bounded sample (``SAMPLE`` vectors, those of least id hash); every
+Pivots and ring borders are fitted on a bounded sample (``SAMPLE`` vectors, those of least hash); every
 vector is indexed, and the answer does not depend on the fit. What comes to the driver is the sample, and
 one row per cell, of which there are ``PIVOTS * RINGS`` at most. Large cells are cut into blocks of
-about ``BLOCK_ROWS`` by id, many queries for a cell into chunks of about ``CHUNK_QUERIES``,
+about ``BLOCK_ROWS`` by id and vector, many queries for a cell into chunks of about ``CHUNK_QUERIES``,
 so no task's group grows with the data.
 
-Defined results: a vector that is null, empty of numbers (null or non-finite components) or has no id takes no part; of rows
-with one id the least vector does; missing trailing components count as 0; rows with the query's id
-are its own; ties go to the smaller id. Vectors so large that a product is no longer exact in a double are an error.
+Defined results: a vector that is null, empty of numbers (null or non-finite components) or has no id takes no part; rows
+of one id and different vectors all do, each as a row and as a query of that id, rows alike in both count once; missing
+trailing components count as 0; rows with the query's id are its own; ties go to the smaller id. Vectors so large that a product is no longer exact in a double are an error.
 """
 
 from __future__ import annotations
@@ -44,15 +44,15 @@ SLACK = 1e-9
 
 
 def whole_vectors(table: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, vector): whole-number vectors that take part, one per id."""
+    """(vec_id, vector): whole-number vectors that take part, one per id and embedding."""
     proper = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.expr(
         "forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
     )
     return (
         table.filter(proper)
-        .select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(f"transform(embedding, x -> floor(CAST(x AS DOUBLE) * {scale}))").alias("vector"))
-        .groupBy("vec_id")
-        .agg(F.min("vector").alias("vector"))
+        .select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+        .distinct()
+        .select("vec_id", F.expr(f"transform(embedding, x -> floor(CAST(x AS DOUBLE) * {scale}))").alias("vector"))
     )
 
 
@@ -164,7 +164,7 @@ def largest_products(table: DataFrame, queries: Column, *, k: int = 5, scale: in
     longest, width = longest or 0.0, width or 0
     if longest >= EXACT:
         raise ValueError("vectors too large for exact products")
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
+    sample = vectors.orderBy(F.xxhash64("vec_id", "vector"), "vec_id", "vector").limit(SAMPLE).select("vector").toArrow()
     index = Index(dense(sample.column(0), width), longest, width)
     shared = spark.sparkContext.broadcast(index)  # PIVOTS * (width + RINGS) numbers
 
@@ -209,10 +209,10 @@ def largest_products(table: DataFrame, queries: Column, *, k: int = 5, scale: in
         visits = bounded.mapInArrow(chosen, schema)
         # One row per cell.
         many = {r[0]: int(-(-r[1] // CHUNK_QUERIES)) for r in visits.groupBy("cell").count().collect()}
-        to_blocks = visits.withColumn("chunk", F.pmod(F.xxhash64("query_id"), by_cell(many, "cell")).cast("int")).withColumn(
+        to_blocks = visits.withColumn("chunk", F.pmod(F.xxhash64("query_id", "vector"), by_cell(many, "cell")).cast("int")).withColumn(
             "block", F.explode(F.sequence(F.lit(0), by_cell(blocks, "cell") - 1))
         )
-        to_chunks = keyed.withColumn("block", F.pmod(F.xxhash64("vec_id"), by_cell(blocks, "cell")).cast("int")).withColumn(
+        to_chunks = keyed.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), by_cell(blocks, "cell")).cast("int")).withColumn(
             "chunk", F.explode(F.sequence(F.lit(0), by_cell(many, "cell") - 1))
         )
 

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -218,6 +219,21 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert P.rows(pivots.largest_products(few, F.col("vec_id") % 50 == 0)) == [(0, 1, 1, 256 * 128)]
 
 
+def test_repeated_ids_equal_sql(spark, monkeypatch):
+    """Ids that stand several times with different vectors, among rows and queries, against the query's own SQL."""
+    monkeypatch.setattr(pivots, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(pivots, "CHUNK_QUERIES", 16)
+    rng = np.random.default_rng(8)
+    ids = [*range(300), *[7] * 40, *[50] * 30, 100, 100, *range(200, 260)]
+    vectors = [rng.normal(size=8).astype(np.float32).tolist() for _ in ids]
+    given = pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32()))})
+    sql = duckdb.connect()
+    sql.register("embeddings", given)
+    df = spark.createDataFrame(list(zip(ids, vectors)), "vec_id long, embedding array<float>")
+    found = pivots.largest_products(df, F.col("vec_id") % 50 == 0)
+    assert compare(found, sql, queries.ORACLES["op7_pivot_search"]) == ""
+
+
 # ------------------------------------------------------------------- poisson
 
 
