@@ -23,5 +23,6 @@ def identity() -> list[Column]:
     """Two numbers, ``rid`` and ``tag``, that tell a document by its id and text (by its text where the id is null)."""
     return [
         F.coalesce("doc_id", F.xxhash64("text")).cast("long").alias("rid"),
-        F.coalesce(F.crc32("text"), F.lit(-1)).cast("long").alias("tag"),
+        # Seeded, so that it adds to ``rid`` where that is a hash of the text too.
+        F.xxhash64(F.lit(1), F.col("text")).alias("tag"),
     ]

@@ -1,4 +1,7 @@
+import hashlib
+import itertools
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -11,6 +14,7 @@ from compare import compare, connect
 from rondas.llm import bpe, hosttrust, langid, licences, partenum, pivots, poisson, queries, recompression, repetition, sitequality
 from rondas.llm import words as W
 from rondas.llm.components import components
+from rondas.llm.tables import identity
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -457,6 +461,21 @@ def every(spark, df):
     }
 
 
+def test_texts_of_one_id_and_checksum_stay_apart(spark):
+    """Two texts of one id with the same 32-bit checksum: neither stands for the other."""
+    seen = {}
+    for i in itertools.count():
+        ws = " ".join(hashlib.md5(f"{i} {j}".encode()).hexdigest() for j in range(3))
+        other = seen.setdefault(zlib.crc32(ws.encode()), ws)
+        if other != ws:
+            break
+    assert zlib.crc32(ws.encode()) == zlib.crc32(other.encode())
+    df = P.docs(spark, [ws, other], ids=[1, 1])
+    assert {r.text for r in partenum.one_of_each(df, n=1).collect()} == {ws, other}
+    tags = df.select(*identity()).collect()
+    assert len(set(tags)) == 2 and len({r.rid for r in tags}) == 1
+
+
 PER_ROW = ["host trust", "language", "repetition", "site quality", "near duplicates", "licences", "repeats", "tokens"]
 
 
