@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rondas.llm import bpe, hosttrust, langid, licences, partenum, pivots, poisson, recompression, repetition, sitequality
+from rondas.llm import (
+    bpe,
+    decontamination,
+    hosttrust,
+    langid,
+    licences,
+    merkle,
+    partenum,
+    pivots,
+    poisson,
+    recompression,
+    repetition,
+    sitequality,
+)
 from rondas.llm.sql import ORACLES
 from rondas.llm.tables import read
 
@@ -77,6 +90,14 @@ def op10_byte_pair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_trust": op1_host_trust,
     "op2_byte_network": op2_byte_network,
@@ -88,4 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_poisson_mix": op8_poisson_mix,
     "op9_recompression": op9_recompression,
     "op10_byte_pair_tokens": op10_byte_pair_tokens,
+    "op12_decontamination": op12_decontamination,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from rondas.llm import decontamination as D
 from rondas.llm import hosttrust as H
 from rondas.llm import licences as L
+from rondas.llm import merkle as M
 from rondas.llm import poisson as P
 from rondas.llm import repetition as R
 
@@ -244,6 +246,81 @@ def repeats_removed(window: int = 35) -> str:
     FROM texts LEFT JOIN kept USING (r)"""
 
 
+def decontamination() -> str:
+    split = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{D.UPPER}', '{D.LOWER}'), '{D.BETWEEN}+'), lambda x: x <> '')"
+
+    def grams(n: str) -> str:
+        return f"unnest(list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i:i + {n} - 1], ' '))) AS g"
+
+    return rf"""
+    WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {split} AS ws FROM documents),
+    items AS (SELECT item_id, ws, least(len(ws), {D.WINDOW}) AS n FROM (SELECT item_id, {split} AS ws FROM benchmark) WHERE len(ws) > 0),
+    grams AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, {grams("n")} FROM items)),
+    places AS (
+        SELECT r, n, unnest(range(1, len(ws) - n + 2)) AS i, {grams("n")}
+        FROM texts, (SELECT DISTINCT n FROM items) WHERE len(ws) >= n),
+    found AS (SELECT * FROM places WHERE g IN (SELECT g FROM grams)),
+    hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM found) GROUP BY r),
+    listed AS (
+        SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids
+        FROM (SELECT DISTINCT r, g FROM found) JOIN grams USING (g) WHERE item_id IS NOT NULL GROUP BY r)
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+           sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM texts LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)"""
+
+
+def manifest() -> str:
+    def field(value: str) -> str:
+        return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR END"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(field(text if name == 'text' else name) for name in M.FIELDS)})"
+
+    # CRC-32 bit by bit: each byte is added, then eight shifts.
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+        lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, b: xor(xor(a, b) >> 1, 3988292384::BIGINT * (xor(a, b) & 1))), 4294967295::BIGINT)"""
+
+    def tree(name: str, first: str) -> str:
+        """(g, level, pos, digest) from the nodes of the lowest level."""
+        return f"""
+    {name}(g, level, pos, digest, n) AS (
+        SELECT g, 0, pos, digest, n FROM ({first})
+        UNION ALL
+        SELECT g, any_value(level) + 1, pos // {M.FAN}, sha256(string_agg(digest, '' ORDER BY pos)), any_value(n + {M.FAN} - 1) // {M.FAN}
+        FROM {name} WHERE n > 1 GROUP BY g, pos // {M.FAN})"""
+
+    def fold(name: str, nodes: str, first: str) -> str:
+        """(r, level, pos, proof, acc) step by step along the siblings."""
+        return f"""
+    {name}(r, g, level, pos, n, proof, acc) AS (
+        {first}
+        UNION ALL
+        SELECT f.r, any_value(f.g), any_value(f.level) + 1, any_value(f.pos) // {M.FAN}, any_value(f.n + {M.FAN} - 1) // {M.FAN},
+               any_value(f.proof) || coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos <> f.pos), ''),
+               sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.acc ELSE t.digest END, '' ORDER BY t.pos))
+        FROM {name} f JOIN {nodes} t ON t.g = f.g AND t.level = f.level AND t.pos // {M.FAN} = f.pos // {M.FAN}
+        WHERE f.n > 1 GROUP BY f.r)"""
+
+    return f"""
+    WITH RECURSIVE leaves AS (
+        SELECT row_number() OVER () AS r, doc_id, source, {leaf("text")} AS leaf,
+               CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS altered
+        FROM documents),
+    sources AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT source FROM documents)),
+    placed AS (
+        SELECT l.*, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n
+        FROM leaves l JOIN sources s ON l.source IS NOT DISTINCT FROM s.source),
+    {tree("nodes", "SELECT g, pos, leaf AS digest, n FROM placed")},
+    subroots AS (SELECT g, digest AS subroot FROM nodes WHERE n = 1),
+    {tree("tops", "SELECT 0 AS g, g AS pos, subroot AS digest, count(*) OVER () AS n FROM subroots")},
+    {fold("lower", "nodes", "SELECT r, g, 0, pos, n, '', altered FROM placed")},
+    {fold("upper", "tops", "SELECT r, 0, 0, g, (SELECT count(*) FROM subroots), proof, acc FROM lower WHERE n = 1")}
+    SELECT doc_id, leaf, subroot, (SELECT digest FROM tops WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
+           acc AS folded_root, acc = (SELECT digest FROM tops WHERE n = 1) AS verified
+    FROM placed JOIN subroots USING (g) JOIN upper u USING (r) WHERE u.n = 1"""
+
+
 ORACLES: dict[str, str] = {
     "op1_host_trust": host_trust(),
     "op3_repetition_rules": repetition_rules(),
@@ -252,4 +329,6 @@ ORACLES: dict[str, str] = {
     "op7_pivot_search": largest_products(),
     "op8_poisson_mix": poisson_mix(),
     "op9_recompression": repeats_removed(),
+    "op12_decontamination": decontamination(),
+    "op13_merkle_manifest": manifest(),
 }
