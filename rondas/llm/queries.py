@@ -19,6 +19,7 @@ from rondas.llm import (
     poisson,
     recompression,
     repetition,
+    search,
     sitequality,
 )
 from rondas.llm.sql import ORACLES
@@ -90,6 +91,10 @@ def op10_byte_pair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pipelined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_poisson_mix": op8_poisson_mix,
     "op9_recompression": op9_recompression,
     "op10_byte_pair_tokens": op10_byte_pair_tokens,
+    "op11_pipelined_search": op11_pipelined_search,
     "op12_decontamination": op12_decontamination,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -8,6 +8,7 @@ from rondas.llm import licences as L
 from rondas.llm import merkle as M
 from rondas.llm import poisson as P
 from rondas.llm import repetition as R
+from rondas.llm import search as Q
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -269,6 +270,26 @@ def decontamination() -> str:
     FROM texts LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)"""
 
 
+def ranked_search() -> str:
+    split = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{Q.UPPER}', '{Q.LOWER}'), '{Q.TERM_BREAK}'), lambda x: x <> '')"
+    return rf"""
+    WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {split} AS ws FROM documents),
+    items AS (SELECT row_number() OVER () AS q, item_id, {split} AS ws FROM benchmark),
+    total AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS terms FROM texts WHERE len(ws) > 0),
+    asked AS (SELECT DISTINCT q, item_id, unnest(ws) AS t FROM items),
+    held AS (
+        SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS t FROM texts)
+        WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+    weights AS (
+        SELECT t, floor(1000 * ln((2 * (SELECT docs FROM total) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held GROUP BY t),
+    scores AS (
+        SELECT q, item_id, r, doc_id,
+               sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+        FROM asked JOIN weights USING (t) JOIN held USING (t), total GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= {Q.BEST}"""
+
+
 def manifest() -> str:
     def field(value: str) -> str:
         return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR END"
@@ -329,6 +350,7 @@ ORACLES: dict[str, str] = {
     "op7_pivot_search": largest_products(),
     "op8_poisson_mix": poisson_mix(),
     "op9_recompression": repeats_removed(),
+    "op11_pipelined_search": ranked_search(),
     "op12_decontamination": decontamination(),
     "op13_merkle_manifest": manifest(),
 }
