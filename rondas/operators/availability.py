@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from rondas.operators.visits import is_active
 
 
-def _active_per_date(visits: DataFrame) -> DataFrame:
+def active_per_date(visits: DataFrame) -> DataFrame:
+    """(fecha, activas) of every date with active visits."""
     return visits.filter(is_active() & F.col("fecha").isNotNull()).groupBy("fecha").agg(F.count(F.lit(1)).alias("activas"))
 
 
 def blocked_dates(visits: DataFrame, capacity: int) -> DataFrame:
     """Dates whose active visits reach ``capacity``."""
-    return _active_per_date(visits).filter(F.col("activas") >= capacity)
+    return active_per_date(visits).filter(F.col("activas") >= capacity)
 
 
 def date_availability(requests: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def guard_requests(visits: DataFrame, requests: DataFrame, capacity: int) -> Dat
     its last place, so only that point is computed per date and requests
     themselves are never grouped or ranked as a whole.
     """
-    used = _active_per_date(visits)
+    used = active_per_date(visits)
     ignored = F.col("fecha").isNull()
     if "rbd" in requests.columns:
         ignored = ignored | (F.coalesce(F.col("rbd"), F.lit(0)) == 0)

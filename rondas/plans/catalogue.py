@@ -10,13 +10,13 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rondas import schema as S
 from rondas.functions import dates as D
 from rondas.operators import attendance as A
-from rondas.operators import availability, calendar, changes, lookups, reports
+from rondas.operators import availability, calendar, changes, lookups, replay, reports
 from rondas.operators import visits as V
 from rondas.operators.ordinals import with_ordinal
 from rondas.plans import editing, screens
@@ -208,6 +208,24 @@ def _guard_input(visits: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def _replay_input(visits: DataFrame, new: DataFrame) -> DataFrame:
+    """Moves of urgent visits by up to two days and new visits in one queue; some visits move again later."""
+    key = F.col("programada_id")
+    urgent = visits.filter(F.col("observaciones") == "1-URGENT")
+
+    def moved(seq: Column, days: Column) -> DataFrame:
+        return urgent.select(
+            seq.alias("seq"), key.alias("programada_id"), F.date_add("fecha", days.cast("int")).alias("fecha"),
+            F.when(key % 13 == 0, S.SUSPENDED).otherwise(F.col("estatus")).alias("estatus"), F.lit(None).cast("long").alias("rbd"),
+        )
+
+    again = moved(4 * key + 2, 2 - key % 3).filter(key % 4 == 0)
+    asked = new.filter(F.col("seq") % 6 == 0).select(
+        (4 * F.col("seq") + 1).alias("seq"), F.lit(None).cast("long").alias("programada_id"), "fecha", "estatus", "rbd"
+    )
+    return moved(4 * key, key % 3).unionByName(again).unionByName(asked)
+
+
 def _moves(visits: DataFrame) -> DataFrame:
     """Every visit asks for a date up to two days later than its own."""
     return visits.select(
@@ -357,6 +375,11 @@ def guarded_insert(spark, d):
     return availability.guard_requests(visits, _guard_input(visits, _new_requests(spark, d)), X.capacity(spark, d))
 
 
+def guarded_replay(spark, d):
+    visits = X.visits(spark, d)
+    return replay.guarded_replay(visits, _replay_input(visits, _new_requests(spark, d)), X.capacity(spark, d))
+
+
 def school_enrichment(spark, d):
     # Suppliers ask too: keys beyond the schools' show the unknown case.
     asked = X.table(spark, d, "lineitem").select(
@@ -617,7 +640,7 @@ QUERIES: dict[str, Query] = {
         export_public, export_detail, export_detail_month,
         calendar_day_events, calendar_grid, calendar_grid_misses, calendar_index, calendar_shape,
         business_day_offset, next_open_date, season_months,
-        blocked_dates, date_availability, guarded_insert,
+        blocked_dates, date_availability, guarded_insert, guarded_replay,
         school_enrichment, lookup_misses, visit_report_items, visit_report_public, visit_report_full,
         date_label_es, time_label, active_universities, university_options, school_options, commune_options, slot_options,
         lookup_file, attendance_file, universities_file, ordinals_by_range, edit_flags,
