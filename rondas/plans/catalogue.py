@@ -16,18 +16,21 @@ from pyspark.sql import functions as F
 from rondas import schema as S
 from rondas.functions import dates as D
 from rondas.operators import attendance as A
-from rondas.operators import availability, calendar, changes, lookups, replay, reports
+from rondas.operators import availability, calendar, changes, deltas, lookups, replay, reports
 from rondas.operators import visits as V
 from rondas.operators.ordinals import with_ordinal
 from rondas.plans import editing, screens
-from rondas.sources import sinks, tables
+from rondas.sources import monthly, sinks, tables
 from rondas.sources import star_schema as X
-from rondas.sources.shared import shared_dir
+from rondas.sources.shared import shared_dir, write_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 MONTH = 6
 RANGE_ROWS = 100
+#: Visits of this year are edited in a batch, and universities with lower codes answer in one.
+SEASON = 1998
+ANSWERING = 9
 REPORT_USER = 1
 
 
@@ -380,6 +383,102 @@ def guarded_replay(spark, d):
     return replay.guarded_replay(visits, _replay_input(visits, _new_requests(spark, d)), X.capacity(spark, d))
 
 
+# ------------------------------------------------- an edit of one season's visits
+
+
+def _season_changes(visits: DataFrame) -> DataFrame:
+    """The field changes and deletions of one year's visits, each with the date its visit has."""
+    year = visits.filter(F.year("fecha") == SEASON)
+    own = year.select("programada_id", F.col("fecha").alias("fecha_propia"))
+    return _field_changes(year).join(own, "programada_id")
+
+
+def _monthly(spark: SparkSession, d: str) -> str:
+    path = _folder(spark, "months")
+    monthly.write_monthly(X.visits(spark, d), path)
+    return path
+
+
+def monthly_changes(spark, d):
+    """Visits kept by month after the changes of a season were applied to the months they touch."""
+    path = _monthly(spark, d)
+    monthly.apply_monthly(spark, path, _season_changes(X.visits(spark, d)))
+    return monthly.read_monthly(spark, path)
+
+
+def month_folders(spark, d):
+    """Visits of a calendar month of all years, read from the folders of that month."""
+    return V.visits_by_month(monthly.read_monthly(spark, _monthly(spark, d), month=MONTH))
+
+
+def _batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Visits before and after the changes of a season, and the signed rows between the two."""
+    before = X.visits(spark, d)
+    changed = write_out(_season_changes(before).drop("fecha_propia"))
+    after = write_out(changes.apply_changes(before, changed))
+    return before, after, write_out(deltas.signed_rows(before, after, changed))
+
+
+def _occupied(visits: DataFrame) -> DataFrame:
+    return availability.active_per_date(visits)
+
+
+def blocked_after_batch(spark, d):
+    """Full dates from the kept counts of dates and the signed rows of a batch."""
+    before, _, signed = _batch(spark, d)
+    counts = deltas.updated_counts(_occupied(before), deltas.active_changes(signed), ["fecha"], "activas")
+    return counts.filter(F.col("activas") >= X.capacity(spark, d))
+
+
+def pending_after_batch(spark, d):
+    """Outcomes to confirm from the kept counts of organisers and the signed rows of a batch."""
+    before, _, signed = _batch(spark, d)
+    kept = V.pending_confirmation_count(before, X.AS_OF, X.SEASON_LIMIT)
+    changed = deltas.pending_changes(signed, X.AS_OF, X.SEASON_LIMIT)
+    return deltas.updated_counts(kept, changed, ["organizador_id"], "pendientes")
+
+
+def open_after_batch(spark, d):
+    """Open invitations from the kept counts of universities, after a batch of visits and one of answers."""
+    before, after, signed = _batch(spark, d)
+    asked = X.attendance(spark, d)
+    answers = write_out(_answers(asked.filter(F.col("codigo") < ANSWERING)).drop("invitacion"))
+    answered = changes.answer_invitation(asked, answers)
+    kept = A.open_invitation_count(asked, before, X.AS_OF)
+    touched = signed.select("programada_id").union(answers.select("programada_id"))
+    changed = deltas.open_changes(before, after, asked, answered, touched, X.AS_OF)
+    return deltas.updated_counts(kept, changed, ["codigo"], "invitaciones")
+
+
+def on_date_after_batch(spark, d):
+    """Active visits numbered within their date, of which only the dates of a batch are numbered again."""
+    before, after, signed = _batch(spark, d)
+    columns = ["fecha", "programada_id", F.col("orden").alias("_orden"), "rbd", "nombre", "organizador", "estatus"]
+
+    def listed(visits: DataFrame, *more: str) -> DataFrame:
+        return visits.filter(V.is_active()).select(*columns, *more)
+
+    kept = write_out(with_ordinal(listed(before), ["fecha"], ["_orden", "programada_id"]))
+    rows = deltas.updated_ordinals(kept, listed(signed, deltas.SIGN), listed(after), ["fecha"], ["_orden", "programada_id"])
+    return rows.select("fecha", "programada_id", *S.DATE_GRID_COLUMNS)
+
+
+def agenda_after_batch(spark, d):
+    """Visits numbered per organiser, of which the dates of a batch are numbered again and later ones moved."""
+    before, after, signed = _batch(spark, d)
+    columns = ["organizador_id", "programada_id", F.col("orden").alias("_orden"), "fecha", "nombre"]
+
+    def listed(visits: DataFrame, *more: str) -> DataFrame:
+        return visits.filter(F.col("fecha_lim") >= F.lit(X.AS_OF)).select(*columns, *more)
+
+    order = ["_orden", "programada_id"]
+    kept = write_out(with_ordinal(listed(before), ["organizador_id"], order, spread="fecha"))
+    rows = deltas.updated_ordinals(
+        kept, listed(signed, deltas.SIGN), listed(after), ["organizador_id"], order, spread="fecha"
+    )
+    return rows.drop("_orden")
+
+
 def school_enrichment(spark, d):
     # Suppliers ask too: keys beyond the schools' show the unknown case.
     asked = X.table(spark, d, "lineitem").select(
@@ -641,6 +740,8 @@ QUERIES: dict[str, Query] = {
         calendar_day_events, calendar_grid, calendar_grid_misses, calendar_index, calendar_shape,
         business_day_offset, next_open_date, season_months,
         blocked_dates, date_availability, guarded_insert, guarded_replay,
+        monthly_changes, month_folders, blocked_after_batch, pending_after_batch, open_after_batch,
+        on_date_after_batch, agenda_after_batch,
         school_enrichment, lookup_misses, visit_report_items, visit_report_public, visit_report_full,
         date_label_es, time_label, active_universities, university_options, school_options, commune_options, slot_options,
         lookup_file, attendance_file, universities_file, ordinals_by_range, edit_flags,

@@ -54,6 +54,13 @@ def write_out(df: DataFrame, *, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, name: str) -> None:
+    """Delete a folder, through the file system it is on."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove the tables that ``write_out`` makes inside the block when it ends: results must be stored by then."""
@@ -61,8 +68,5 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        context = spark.sparkContext
         for name in _open.pop():
-            path = context._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
+            remove(spark, name)

@@ -67,8 +67,8 @@ def test_rounds_equal_one_by_one(spark, seed, several):
     keys = [rng.choice([None, None, rng.randrange(40), 99]) for _ in range(60)] if several else [None] * 25 + rng.sample(range(40), 35)
     rng.shuffle(keys)
     requests = [(s * 3 - 50, k, rng.choice(calendar), rng.choice(status), rng.choice([0, 5, 5, None])) for s, k in enumerate(keys)]
-    for capacity in (3, 5):
-        assert decided(spark, visits, requests, capacity) == one_by_one(visits, requests, capacity)
+    capacity = 3 + seed % 3
+    assert decided(spark, visits, requests, capacity) == one_by_one(visits, requests, capacity)
 
 
 def test_a_freed_place_is_free_at_once_along_a_chain(spark):
@@ -103,7 +103,7 @@ def test_a_crowded_date_is_settled_in_a_few_rounds(spark, monkeypatch):
 
 
 def test_no_date_or_visit_is_one_window(spark):
-    rows = spark.range(100).selectExpr("id AS seq", "1 AS k", "CAST(id DIV 10 AS INT) AS tramo", "id % 7 AS n")
+    rows = spark.range(100).selectExpr("id AS seq", "CAST(id * 0 AS INT) AS k", "CAST(id DIV 10 AS INT) AS tramo", "id % 7 AS n")
     got = replay.running(rows, "k", {"suma": ("sum", F.col("n")), "mayor": ("max", F.col("n"))}).orderBy("seq").collect()
     values = [i % 7 for i in range(100)]
     assert [(r.suma, r.mayor) for r in got] == [(sum(values[:i]) if i else None, max(values[:i], default=None)) for i in range(100)]
