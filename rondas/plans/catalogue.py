@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from rondas import schema as S
 from rondas.functions import dates as D
 from rondas.operators import attendance as A
-from rondas.operators import availability, calendar, changes, deltas, lookups, replay, reports
+from rondas.operators import availability, calendar, changes, deltas, lookups, replay, reports, textindex
 from rondas.operators import visits as V
 from rondas.operators.ordinals import with_ordinal
 from rondas.plans import editing, screens
-from rondas.sources import monthly, sinks, tables
+from rondas.sources import keyed, monthly, sinks, sqlviews, tables
 from rondas.sources import star_schema as X
 from rondas.sources.shared import shared_dir, write_out
 
@@ -693,6 +693,38 @@ def page_store(spark, d):
     return sinks.read_store(spark, path, S.ATTENDANCE_SCHEMA)
 
 
+def _spoiled_store(spark: SparkSession, d: str) -> str:
+    """A page's row store in which some lines are cut and some hold a word for a number."""
+    rows = X.attendance(spark, d)
+    key = F.col("programada_id")
+    line = F.to_json(F.struct(*[F.col(c) for c in rows.columns]))
+    spoiled = (
+        F.when(key % 7 == 0, F.expr("substring(_linea, 1, length(_linea) - 5)"))
+        .when(key % 11 == 0, F.regexp_replace("_linea", '"asiste":[0-9]', '"asiste":"quizas"'))
+        .otherwise(F.col("_linea"))
+    )
+    path = _folder(spark, "store")
+    rows.withColumn("_linea", line).select(spoiled.alias("value")).write.text(path)
+    return path
+
+
+def store_rows(spark, d):
+    """The whole lines of a spoiled row store."""
+    return sinks.checked_store(spark, _spoiled_store(spark, d), S.ATTENDANCE_SCHEMA)[0]
+
+
+def store_quarantine(spark, d):
+    """The broken lines of a spoiled row store."""
+    return sinks.checked_store(spark, _spoiled_store(spark, d), S.ATTENDANCE_SCHEMA)[1].select("linea")
+
+
+def blocked_by_sql(spark, d):
+    """Full dates for several capacities, by a SQL table function joined to each of them."""
+    sqlviews.register(spark, X.visits(spark, d))
+    places = X.table(spark, d, "region").select((F.col("r_regionkey") + X.capacity(spark, d)).cast("int").alias("capacidad"))
+    return spark.sql("SELECT capacidad, fecha, activas FROM {places}, LATERAL bloqueadas(capacidad)", places=places)
+
+
 def snapshot_file(spark, d):
     """The visit table written as a snapshot and read with its declared schema."""
     return tables.read_visits(spark, sinks.write_snapshot(X.visits(spark, d), _folder(spark, "visits"), 1))
@@ -715,6 +747,33 @@ def column_filter_sort(spark, d):
     return V.column_filter_sort(rows, {"nombre": "R#0000001", "estatus": "POR confirm"}, ["organizador", "estatus"])
 
 
+def text_search(spark, d):
+    """Visits whose school's name and status contain texts, found through the posting tables of both columns."""
+    rows = X.visits(spark, d).select("programada_id", "fecha", "nombre", "estatus")
+    indexes = {c: _folder(spark, f"index-{c}") for c in ("nombre", "estatus")}
+    for column, path in indexes.items():
+        textindex.write_index(rows, column, path)
+    return textindex.search(rows, indexes, {"nombre": "r#0000001", "estatus": "IRM"})
+
+
+def keyed_visits(spark, d):
+    """The visits that parts ask for, from a table sorted by key."""
+    path = _folder(spark, "keyed")
+    keyed.write_keyed(X.visits(spark, d), path)
+    wanted = X.table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("programada_id"))
+    return keyed.visits_from(spark, path, wanted)
+
+
+def keyed_answers(spark, d):
+    """The answers of organisers to the visits that suppliers ask for, from a table sorted by key."""
+    path = _folder(spark, "keyed")
+    keyed.write_keyed(X.attendance(spark, d), path, ("programada_id", "codigo"))
+    asked = X.table(spark, d, "supplier").select(
+        (F.col("s_suppkey") * 3).alias("programada_id"), (F.col("s_suppkey") % X.CODES).cast("int").alias("codigo")
+    )
+    return keyed.answers_from(spark, path, asked)
+
+
 def labelled_columns(spark, d):
     return V.labelled_columns(X.visits(spark, d), [f.name for f in S.VISIT_SCHEMA.fields])
 
@@ -748,7 +807,7 @@ QUERIES: dict[str, Query] = {
         changed_fields, typed_patch, apply_changes, rejected_changes, apply_inserts,
         submit_forms, form_decisions, form_invalid, form_unmatched, add_visits, close_visits,
         answer_invitation, flag_invitation, unmatched_answers, transport_encode, transport_decode, undecodable,
-        export_file, page_store, snapshot_file,
-        visit_by_id, unknown_ids, column_filter_sort, labelled_columns, small_projections,
+        export_file, page_store, store_rows, store_quarantine, blocked_by_sql, snapshot_file,
+        visit_by_id, unknown_ids, column_filter_sort, text_search, keyed_visits, keyed_answers, labelled_columns, small_projections,
     )
 }
