@@ -5,8 +5,8 @@ import pytest
 import fixtures as X
 from rondas import schema as S
 from rondas.operators import changes as C
-from rondas.operators import reports
-from rondas.sources import sinks, tables
+from rondas.operators import availability, reports
+from rondas.sources import sinks, sqlviews, tables
 
 
 def test_parquet_round_trip(spark, tmp_path):
@@ -81,3 +81,54 @@ def test_database_read_is_cut_by_key():
     options = tables.jdbc_options("jdbc:postgresql://h/db", "programadas", 1, 1_000_000, 64, "programada_id", 10_000)
     assert options["partitionColumn"] == "programada_id" and options["numPartitions"] == "64"
     assert (options["lowerBound"], options["upperBound"]) == ("1", "1000000")
+
+
+BROKEN = ['{"programada_id": 1, "codigo": 2, "asiste": 1, "inv', "no json", "5", '{"programada_id": 1, "codigo": "dos"}']
+
+
+def test_broken_lines_of_a_store_are_set_aside(spark, tmp_path):
+    good = ['{"programada_id": 7, "codigo": 1, "asiste": null, "invitacion": 0}', '{"programada_id": 8}', '{"programada_id":9,"otra":1}']
+    (tmp_path / "a.json").write_text("\n".join([good[0], *BROKEN[:2], good[1]]), encoding="utf-8")
+    (tmp_path / "b.json").write_text("\n".join([good[2], "", *BROKEN[2:]]), encoding="utf-8")
+    rows, broken = sinks.checked_store(spark, str(tmp_path), S.ATTENDANCE_SCHEMA)
+    assert rows.schema == S.ATTENDANCE_SCHEMA
+    assert X.rows(rows) == [(7, 1, None, 0), (8, None, None, None), (9, None, None, None)]
+    assert X.rows(broken) == sorted([("a.json", BROKEN[0]), ("a.json", BROKEN[1]), ("b.json", BROKEN[2]), ("b.json", BROKEN[3])])
+    # Whichever columns a query uses, the same lines are whole.
+    assert rows.select("invitacion").count() == rows.count() == rows.filter("programada_id > 0").count() == 3
+    assert broken.select("archivo").count() == broken.count() == broken.select("linea").count() == 4
+    with pytest.raises(Exception, match="a line does not fit the schema"):
+        sinks.read_store(spark, str(tmp_path), S.ATTENDANCE_SCHEMA).select("programada_id").collect()
+
+
+def test_broken_lines_of_a_sheet_are_set_aside(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('Codigo,Fecha,Nota\n1,2026-03-02,"a\nb"\n2,ayer,x\n3,2026-03-04\n4,,""\n5,2026-03-05,y,z\n', encoding="utf-8")
+    schema = spark.createDataFrame([], "Codigo int, Fecha date, Nota string").schema
+    rows, broken = sinks.checked_export(spark, str(tmp_path), schema)
+    assert [(r.Codigo, r.Nota) for r in rows.orderBy("Codigo").collect()] == [(1, "a\nb"), (4, "")]
+    assert sorted(r.linea for r in broken.collect()) == ["2,ayer,x", "3,2026-03-04", "5,2026-03-05,y,z"]
+    assert rows.select("Nota").count() == 2
+    with pytest.raises(Exception, match="a line does not fit the schema"):
+        sinks.read_export(spark, str(tmp_path), schema).collect()
+
+
+def test_sheets_are_split_by_rows(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id AS Codigo", "DATE '2026-03-02' AS Fecha")
+    sinks.write_export(rows, f"{tmp_path}/s", by_month_of="Fecha", rows_per_file=300)
+    assert len(list((tmp_path / "s" / "mes=2026-03").glob("*.csv"))) == 4
+    assert sinks.read_export(spark, f"{tmp_path}/s", rows.schema).count() == 1000
+
+
+def test_table_functions(spark):
+    visits = X.edge_visits(spark)
+    sqlviews.register(spark, visits, X.edge_attendance(spark))
+    for capacity in (1, 2, 3):
+        expected = availability.blocked_dates(visits, capacity)
+        assert X.rows(spark.sql(f"SELECT fecha, activas FROM bloqueadas({capacity})")) == X.rows(expected)
+    asked = spark.createDataFrame([(1, "a"), (3, "b")], "lugares int, quien string")
+    got = spark.sql("SELECT quien, fecha FROM {asked}, LATERAL bloqueadas(lugares)", asked=asked)
+    expected = [(q, r.fecha) for n, q in ((1, "a"), (3, "b")) for r in availability.blocked_dates(visits, n).collect()]
+    assert X.rows(got) == sorted(expected)
+    july = spark.sql("SELECT fecha FROM ocupadas(DATE '2026-07-01', DATE '2026-07-31')").collect()
+    assert [str(r.fecha) for r in july] == ["2026-07-01"]
+    assert "LATERAL" not in got._jdf.queryExecution().executedPlan().toString()
