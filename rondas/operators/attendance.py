@@ -13,6 +13,7 @@ from rondas.functions.checks import fail_when
 from rondas.operators.lookups import with_commune, with_university
 from rondas.operators.ordinals import HOT_ROWS, with_ordinal
 from rondas.operators.visits import upcoming_active
+from rondas.sources.shared import cut_lineage
 
 
 def invitations(
@@ -35,9 +36,9 @@ def invitations(
     planned = upcoming_active(visits, as_of).select(
         "programada_id", F.col("orden").alias("_orden"), "fecha", "rbd", "nombre", "direccion", "comuna_id"
     )
-    # The join runs twice, for the counts with four narrow columns only; nothing is written.
+    # Joined once, for the counts and for the rows; Spark's cleaner removes it once it is out of use.
     numbered = with_ordinal(
-        asked.join(planned, "programada_id"),
+        cut_lineage(asked.join(planned, "programada_id")),
         ["codigo", "asiste"],
         ["_orden", "programada_id"],
         spread="fecha",

@@ -4,8 +4,7 @@ A plain ``row_number`` sends a whole group to one task. Few groups (a dozen
 universities) over many rows would then be a dozen tasks. Here the group is
 numbered date by date: a small table of counts per (group, date) says how many
 rows come before each date, and ``row_number`` runs inside (group, date) only.
-A (group, date) that is itself too large is split by range, so no task ever
-holds more than about ``HOT_ROWS`` rows of one group.
+A (group, date) with more than ``HOT_ROWS`` rows is split by range over the session's tasks.
 """
 
 from __future__ import annotations
@@ -65,7 +64,9 @@ def with_ordinal(
     match = _all_same(cell, "_s_")
     cold = _number_by_cell(rows.join(marks, match, "left_anti"), offsets, cell, order, name, bool(spread))
     large = rows.join(marks, match).select(*rows.columns, "_before")
-    parts = int(-(-2 * hot_total // hot_rows))
+    # As many ranges as the hot rows need, at most as many as the session shuffles into.
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(int(-(-2 * hot_total // hot_rows)), most))
     numbered = _number_by_range(large, cell, order, parts)
     return cold.unionByName(
         numbered.select(*rows.columns, (F.col("_before") + F.col("_in_cell")).alias(name))

@@ -20,7 +20,7 @@ from rondas.operators import availability, calendar, changes, deltas, lookups, r
 from rondas.operators import visits as V
 from rondas.operators.ordinals import with_ordinal
 from rondas.plans import editing, screens
-from rondas.sources import keyed, monthly, sinks, sqlviews, tables
+from rondas.sources import keyed, monthly, sinks, sqlviews, tables, workbook
 from rondas.sources import star_schema as X
 from rondas.sources.shared import shared_dir, write_out
 
@@ -685,6 +685,14 @@ def export_file(spark, d):
     return sinks.read_export(spark, path, sheet.schema)
 
 
+def export_sheets(spark, d):
+    """The public export written as spreadsheet files, one or more for each task, and read back."""
+    sheet = reports.export_public(X.visits(spark, d))
+    path = _folder(spark, "sheets")
+    workbook.write_sheets(sheet, path)
+    return workbook.read_sheets(spark, path, sheet.schema)
+
+
 def page_store(spark, d):
     """The attendance table written as a page's row store and read back."""
     rows = X.attendance(spark, d)
@@ -807,7 +815,7 @@ QUERIES: dict[str, Query] = {
         changed_fields, typed_patch, apply_changes, rejected_changes, apply_inserts,
         submit_forms, form_decisions, form_invalid, form_unmatched, add_visits, close_visits,
         answer_invitation, flag_invitation, unmatched_answers, transport_encode, transport_decode, undecodable,
-        export_file, page_store, store_rows, store_quarantine, blocked_by_sql, snapshot_file,
+        export_file, export_sheets, page_store, store_rows, store_quarantine, blocked_by_sql, snapshot_file,
         visit_by_id, unknown_ids, column_filter_sort, text_search, keyed_visits, keyed_answers, labelled_columns, small_projections,
     )
 }
