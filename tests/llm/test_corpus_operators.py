@@ -163,7 +163,7 @@ def test_texts_of_a_word_only_and_long_texts(spark):
 
 
 def test_native_plan(spark):
-    texts, items = corpus(5, n_docs=5)
+    texts, items = corpus(5, n_docs=8)
     docs, asked = P.docs(spark, texts), benchmark(spark, items)
     for df in (decontamination.judge(docs, asked), decontamination.remove_spans(docs, asked), decontamination.remove_documents(docs, asked)):
         plan = df._jdf.queryExecution().executedPlan().toString()

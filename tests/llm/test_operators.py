@@ -230,6 +230,9 @@ def test_repeated_ids_equal_sql(spark, monkeypatch):
     rng = np.random.default_rng(8)
     ids = [*range(300), *[7] * 40, *[50] * 30, 100, 100, *range(200, 260)]
     vectors = [rng.normal(size=8).astype(np.float32).tolist() for _ in ids]
+    # Rows alike in id and vector: long ones that every query finds, and a query that stands several times.
+    ids += [9] * 4 + [11] * 9 + [50, 50, 150]
+    vectors += [[4.0] * 8] * 4 + [[-4.0] * 8] * 9 + [vectors[50]] * 2 + [vectors[150]]
     given = pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32()))})
     sql = duckdb.connect()
     sql.register("embeddings", given)
