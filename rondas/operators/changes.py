@@ -180,6 +180,14 @@ def insert_visits(
     """
     # A number, not rows, comes to the driver.
     last_id = visits.agg(F.max(KEY)).first()[0] or 0
+    new = new_visits(visits, requests, season_limit, last_id=last_id, hot_rows=hot_rows)
+    return visits.select(*S.VISIT_SCHEMA.fieldNames()).unionByName(new)
+
+
+def new_visits(
+    visits: DataFrame, requests: DataFrame, season_limit: dt.date | str, *, last_id: int, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The rows that ``insert_visits`` adds. Of ``visits``, only those on the dates asked for matter."""
     numbered = number_all(requests, ["seq"], name="_n")
     dated = with_ordinal(numbered, ["fecha"], ["seq"], name="_k", hot_rows=hot_rows)
     # One row per calendar date.
@@ -205,7 +213,7 @@ def insert_visits(
         else:
             value = F.nullif(F.col(f.name), F.lit(0))
         columns.append(value.cast(f.dataType).alias(f.name))
-    return visits.select(*S.VISIT_SCHEMA.fieldNames()).unionByName(new.select(*columns))
+    return new.select(*columns)
 
 
 def close_visits(visits: DataFrame, closings: DataFrame, holidays: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def _runs(text: Column) -> Column:
     runs = [
         F.when(
             F.char_length(text) >= k,
-            F.transform(F.sequence(F.lit(1), F.char_length(text) - (k - 1)), lambda i, _: F.substring(text, i, F.lit(k))),
+            F.transform(F.sequence(F.lit(1), F.char_length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k))),
         ).otherwise(F.array().cast("array<string>"))
         for k in range(1, RUN + 1)
     ]

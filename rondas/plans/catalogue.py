@@ -406,6 +406,21 @@ def monthly_changes(spark, d):
     return monthly.read_monthly(spark, path)
 
 
+def monthly_closings(spark, d):
+    """Visits kept by month after past ones were closed in their months."""
+    path, visits = _monthly(spark, d), X.visits(spark, d)
+    own = visits.select("programada_id", F.col("fecha").alias("fecha_propia"))
+    monthly.close_monthly(spark, path, _closings(visits).join(own, "programada_id"), X.holidays(spark, d))
+    return monthly.read_monthly(spark, path)
+
+
+def monthly_inserts(spark, d):
+    """Visits kept by month after new ones were added as files of their months."""
+    path = _monthly(spark, d)
+    monthly.insert_monthly(spark, path, _new_requests(spark, d), X.SEASON_LIMIT)
+    return monthly.read_monthly(spark, path)
+
+
 def month_folders(spark, d):
     """Visits of a calendar month of all years, read from the folders of that month."""
     return V.visits_by_month(monthly.read_monthly(spark, _monthly(spark, d), month=MONTH))
@@ -807,7 +822,7 @@ QUERIES: dict[str, Query] = {
         calendar_day_events, calendar_grid, calendar_grid_misses, calendar_index, calendar_shape,
         business_day_offset, next_open_date, season_months,
         blocked_dates, date_availability, guarded_insert, guarded_replay,
-        monthly_changes, month_folders, blocked_after_batch, pending_after_batch, open_after_batch,
+        monthly_changes, monthly_closings, monthly_inserts, month_folders, blocked_after_batch, pending_after_batch, open_after_batch,
         on_date_after_batch, agenda_after_batch,
         school_enrichment, lookup_misses, visit_report_items, visit_report_public, visit_report_full,
         date_label_es, time_label, active_universities, university_options, school_options, commune_options, slot_options,

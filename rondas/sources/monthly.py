@@ -8,7 +8,8 @@ replace those months; all other folders are left alone. A month that loses its l
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import datetime as dt
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def _months(fecha: Column) -> list[Column]:
     return [F.year(fecha).alias("anio"), F.month(fecha).alias("mes")]
 
 
-def _write(visits: DataFrame, path: str, *, rows_per_file: int) -> None:
+def _write(visits: DataFrame, path: str, *, rows_per_file: int, mode: str = "overwrite") -> None:
     """Rows are split by range: a task writes few months, and a large month is written by several tasks."""
     rows = visits.select("*", *_months(F.col("fecha")))
     order = [*MONTH, "fecha", "programada_id"]
@@ -33,7 +34,7 @@ def _write(visits: DataFrame, path: str, *, rows_per_file: int) -> None:
         .write.partitionBy(*MONTH)
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", rows_per_file)
-        .mode("overwrite")
+        .mode(mode)
         .parquet(path)
     )
 
@@ -76,6 +77,25 @@ def touched_months(changes: DataFrame) -> list[tuple[int | None, int | None]]:
     return [tuple(row) for row in found.collect()]
 
 
+def _months_of(rows: DataFrame, column: str) -> list[tuple[int | None, int | None]]:
+    """A row per calendar month reaches the driver."""
+    return [tuple(row) for row in rows.select(*_months(F.col(column))).distinct().collect()]
+
+
+def _replace(
+    spark: SparkSession, path: str, months: list[tuple], edited: Callable[[DataFrame], DataFrame], rows_per_file: int
+) -> None:
+    """Write the months as ``edited`` makes them from what they hold."""
+    if not months:
+        return
+    new = write_out(edited(read_monthly(spark, path, months)))
+    left = set(_months_of(new, "fecha"))
+    # All rows are in place before the first folder is replaced; a run that ends before that is repeated from the start.
+    _write(new, path, rows_per_file=rows_per_file)
+    for month in set(months) - left:
+        remove(spark, f"{path}/{_folder(*month)}")
+
+
 def apply_monthly(spark: SparkSession, path: str, changes: DataFrame, *, rows_per_file: int = 5_000_000) -> list[tuple]:
     """Apply a change table (see ``changes.apply_changes``) with the date of each visit as ``fecha_propia``; the touched months.
 
@@ -85,14 +105,36 @@ def apply_monthly(spark: SparkSession, path: str, changes: DataFrame, *, rows_pe
     with scratch(spark):
         changes = write_out(changes)
         months = touched_months(changes)
-        if not months:
-            return []
-        new = write_out(C.apply_changes(read_monthly(spark, path, months), changes.drop("fecha_propia")))
-        left = {tuple(row) for row in new.select(*_months(F.col("fecha"))).distinct().collect()}
-        # All rows are in place before the first folder is replaced; a run that ends here is repeated from the start.
-        _write(new, path, rows_per_file=rows_per_file)
-        for month in set(months) - left:
-            remove(spark, f"{path}/{_folder(*month)}")
+        _replace(spark, path, months, lambda rows: C.apply_changes(rows, changes.drop("fecha_propia")), rows_per_file)
+    return months
+
+
+def close_monthly(
+    spark: SparkSession, path: str, closings: DataFrame, holidays: DataFrame, *, rows_per_file: int = 5_000_000
+) -> list[tuple]:
+    """Apply closings (see ``changes.close_visits``) with the date of each visit as ``fecha_propia``; the touched months."""
+    with scratch(spark):
+        closings = write_out(closings)
+        months = _months_of(closings, "fecha_propia")
+        _replace(spark, path, months, lambda rows: C.close_visits(rows, closings.drop("fecha_propia"), holidays), rows_per_file)
+    return months
+
+
+def insert_monthly(
+    spark: SparkSession, path: str, requests: DataFrame, season_limit: dt.date | str, *, rows_per_file: int = 5_000_000
+) -> list[tuple]:
+    """Add new visits (see ``changes.insert_visits``) as further files of their months; these months.
+
+    Nothing is rewritten: of the visits there are, the months asked for are read for the places of their dates, and
+    all others for their largest id alone.
+    """
+    with scratch(spark):
+        requests = write_out(requests)
+        months = _months_of(requests, "fecha")
+        if months:
+            last_id = read_monthly(spark, path).agg(F.max("programada_id")).first()[0] or 0
+            new = C.new_visits(read_monthly(spark, path, months), requests, season_limit, last_id=last_id)
+            _write(write_out(new), path, rows_per_file=rows_per_file, mode="append")
     return months
 
 

@@ -133,3 +133,36 @@ def test_changes_for_a_date_the_visit_no_longer_has(spark, tmp_path):
     )
     assert [r.seq for r in monthly.stale(spark, path, change).collect()] == [2]
     assert monthly.apply_monthly(spark, path, change.limit(0)) == []
+
+
+def test_inserts_add_files_and_rewrite_none(spark, tmp_path):
+    path = str(tmp_path / "visits")
+    before = sample(spark)
+    monthly.write_monthly(before, path)
+    old = files(path)
+    requests = spark.createDataFrame(
+        [(1, dt.date(2024, 1, 1), 5, "Confirmada"), (2, dt.date(2031, 7, 7), 5, "Confirmada"), (3, None, 5, None), (4, dt.date(2024, 1, 1), 6, "x")],
+        "seq long, fecha date, rbd long, estatus string",
+    )
+    months = monthly.insert_monthly(spark, path, requests, "2026-12-31")
+    assert set(months) == {(2024, 1), (2031, 7), (None, None)}
+    new = files(path)
+    assert {f: new[f] for f in old} == old
+    assert {f.rsplit("/", 1)[0] for f in set(new) - set(old)} == {monthly._folder(*m) for m in months}
+    expected = C.insert_visits(before, requests, "2026-12-31")
+    assert sorted(map(tuple, monthly.read_monthly(spark, path).collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+
+
+def test_closings_touch_the_months_of_their_visits(spark, tmp_path):
+    path = str(tmp_path / "visits")
+    before = sample(spark)
+    monthly.write_monthly(before, path)
+    old = files(path)
+    own = {r.programada_id: r.fecha for r in before.collect()}
+    closings = [(1, 0, "Realizada", own[0] + dt.timedelta(3), own[0]), (2, 36, "Suspendida", own[36], own[36])]
+    closings = spark.createDataFrame(closings, "seq long, programada_id long, estatus string, hoy date, fecha_propia date")
+    holidays = spark.createDataFrame([(dt.date(2024, 1, 6),)], "fecha date")
+    assert monthly.close_monthly(spark, path, closings, holidays) == [(2024, 1)]
+    expected = C.close_visits(before, closings.drop("fecha_propia"), holidays)
+    assert sorted(map(tuple, monthly.read_monthly(spark, path).collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+    assert {f for f, s in files(path).items() if old.get(f) != s} == {f for f in files(path) if f.startswith("anio=2024/mes=1/")}

@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import fixtures as X
 from rondas import schema as S
-from rondas.operators import replay
+from rondas.operators import changes, replay
+from rondas.plans import editing
 
 DAY = dt.date(2026, 3, 2)
 REQUESTS = "seq long, programada_id long, fecha date, estatus string, rbd long"
@@ -113,3 +115,28 @@ def test_no_date_or_visit_is_one_window(spark):
 
 def test_nothing_to_decide(spark):
     assert decided(spark, [(1, DAY, "Confirmada")], [], 2) == {}
+
+
+def test_forms_that_take_freed_places(spark):
+    visits = X.visits(spark, X.visit(1, "2026-07-01"), X.visit(2, "2026-07-02"), X.visit(3, "2026-07-03"))
+    to = F.element_at(F.create_map(*[F.lit(x) for x in (1, "2026-07-09", 2, "2026-07-01", 3, "2026-07-03")]), F.col("programada_id").cast("int"))
+    forms = changes.transport_encode(visits).select("programada_id", *S.FORM_FIELDS).withColumns(
+        {"seq": F.col("programada_id"), "fecha": to, "direccion": F.lit("otra")}
+    )
+    for at_once, second in ((False, "rechazada"), (True, "aceptada")):
+        edit = editing.submit_forms(visits, forms, 1, at_once=at_once)
+        assert {r.seq: r.decision for r in edit.decisions.collect()} == {1: "aceptada", 2: second}
+        got = {r.programada_id: (str(r.fecha), r.direccion) for r in edit.snapshot.collect()}
+        moved = ("2026-07-01", "otra") if at_once else ("2026-07-02", None)
+        assert got == {1: ("2026-07-09", "otra"), 2: moved, 3: ("2026-07-03", "otra")}
+
+
+def test_an_edit_computes_only_what_is_asked_for(spark, monkeypatch):
+    visits = X.edge_visits(spark)
+    monkeypatch.setattr(editing.C, "apply_changes", lambda *a: pytest.fail("the snapshot was not asked for"))
+    forms = changes.transport_encode(visits).select("programada_id", *S.FORM_FIELDS).withColumn("seq", F.col("programada_id"))
+    edit = editing.submit_forms(visits, forms, 1)
+    assert edit.decisions.count() == edit.invalid.count() == edit.unmatched.count() == 0
+    assert edit.differences is edit.differences
+    with pytest.raises(AttributeError):
+        edit.nothing
