@@ -116,8 +116,9 @@ def hits(docs: DataFrame, items: DataFrame, n: int = WINDOW, *, broadcast_bytes:
         return F.concat(*[_rolled(h, k) for k in lengths])
 
     texts = docs.select(*identity(), words("text").alias("ws"))
-    # Only numbers leave the row: words of long texts are not copied to each of their windows.
-    placed = texts.select(*TEXT, F.size("ws").alias("size"), F.posexplode(_let(_hashes(F.col("ws")), rolled)).alias("at", "hash"))
+    # Only numbers go with a window: all that needs the words is computed before the hashes are exploded.
+    hashed = texts.select(*TEXT, F.size("ws").alias("size"), _let(_hashes(F.col("ws")), rolled).alias("hashes"))
+    placed = hashed.select(*TEXT, "size", F.posexplode("hashes").alias("at", "hash"))
     # The windows of each length stand behind those of the lengths before it.
     start = reduce(
         lambda rest, k: F.when(
