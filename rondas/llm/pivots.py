@@ -15,7 +15,7 @@ about ``BLOCK_ROWS`` by id and vector, many queries for a cell into chunks of ab
 so no task's group grows with the data.
 
 Defined results: a vector that is null, empty of numbers (null or non-finite components) or has no id takes no part; rows
-of one id and different vectors all do, each as a row and as a query of that id, rows alike in both count once; missing
+of one id all do, repeated or with different vectors, each as a row, and its vectors as queries of that id; missing
 trailing components count as 0; rows with the query's id are its own; ties go to the smaller id. Vectors so large that a product is no longer exact in a double are an error.
 """
 
@@ -43,15 +43,16 @@ EXACT = float(1 << 53)
 SLACK = 1e-9
 
 
-def whole_vectors(table: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, vector): whole-number vectors that take part, one per id and embedding."""
+def whole_vectors(table: DataFrame, scale: int, k: int) -> DataFrame:
+    """(vec_id, vector): whole-number vectors that take part; of rows alike in id and embedding ``k`` at most, as no answer holds more."""
     proper = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.expr(
         "forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
     )
     return (
         table.filter(proper)
-        .select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-        .distinct()
+        .groupBy(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+        .agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
         .select("vec_id", F.expr(f"transform(embedding, x -> floor(CAST(x AS DOUBLE) * {scale}))").alias("vector"))
     )
 
@@ -158,7 +159,7 @@ def _look(index: Index, rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
 def largest_products(table: DataFrame, queries: Column, *, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows that ``queries`` is true for, the k other rows of largest product."""
     spark = table.sparkSession
-    vectors = write_out(whole_vectors(table, scale))
+    vectors = write_out(whole_vectors(table, scale, k))
     square = F.expr("aggregate(vector, 0.0D, (s, x) -> s + CAST(x AS DOUBLE) * x)")
     longest, width = vectors.agg(F.max(square), F.max(F.size("vector"))).first()
     longest, width = longest or 0.0, width or 0
@@ -180,7 +181,7 @@ def largest_products(table: DataFrame, queries: Column, *, k: int = 5, scale: in
     cells = keyed.groupBy("cell").agg(F.min("gap").alias("inner"), F.max("gap").alias("outer"), F.count(F.lit(1)).alias("n")).orderBy("cell").toArrow()
     number, inner, outer, held = (cells.column(c).to_numpy() for c in ("cell", "inner", "outer", "n"))
     blocks = {int(c): int(-(-n // BLOCK_ROWS)) for c, n in zip(number, held, strict=True)}
-    asked = keyed.filter(queries).select(F.col("vec_id").alias("query_id"), "vector")
+    asked = keyed.filter(queries).select(F.col("vec_id").alias("query_id"), "vector").distinct()
 
     def by_cell(values: dict[int, int], column: str) -> Column:
         """A number for each cell, from a map of PIVOTS * RINGS entries at most."""
