@@ -1,3 +1,4 @@
-SELECT capacidad, fecha, activas
-FROM (SELECT CAST(r_regionkey + (SELECT places FROM season) AS INTEGER) AS capacidad FROM region)
-JOIN (SELECT fecha, count(*) AS activas FROM visits WHERE estatus IN ('Confirmada', 'Por confirmar') GROUP BY fecha) ON activas >= capacidad
+SELECT programada_id, m.fecha, activas
+FROM (SELECT programada_id, fecha + CAST(programada_id % 3 AS INTEGER) AS fecha FROM visits) m
+JOIN (SELECT fecha, count(*) AS activas FROM visits WHERE estatus IN ('Confirmada', 'Por confirmar') GROUP BY fecha) b
+  ON b.fecha = m.fecha AND activas >= (SELECT places FROM season)

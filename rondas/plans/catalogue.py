@@ -742,10 +742,15 @@ def store_quarantine(spark, d):
 
 
 def blocked_by_sql(spark, d):
-    """Full dates for several capacities, by a SQL table function joined to each of them."""
-    sqlviews.register(spark, X.visits(spark, d))
-    places = X.table(spark, d, "region").select((F.col("r_regionkey") + X.capacity(spark, d)).cast("int").alias("capacidad"))
-    return spark.sql("SELECT capacidad, fecha, activas FROM {places}, LATERAL bloqueadas(capacidad)", places=places)
+    """Moves to full dates, by a SQL table function that is joined to each of them."""
+    visits = X.visits(spark, d)
+    sqlviews.register(spark, visits)
+    return spark.sql(
+        """SELECT m.programada_id, m.fecha, b.activas
+           FROM {moves} m, LATERAL (SELECT activas FROM bloqueadas(:lugares) WHERE fecha = m.fecha) b""",
+        args={"lugares": X.capacity(spark, d)},
+        moves=_moves(visits),
+    )
 
 
 def snapshot_file(spark, d):

@@ -14,7 +14,7 @@ def register(spark: SparkSession, visits: DataFrame, attendance: DataFrame | Non
 
     ``bloqueadas(capacidad)`` returns (fecha, activas) of the dates whose active visits reach the capacity, and
     ``ocupadas(desde, hasta)`` those of all dates of a span. Both are plain queries to Spark: they are planned with the query that calls
-    them, and can be joined to each row of a table with LATERAL.
+    them, and can be joined to each row of a table with LATERAL; with an equality (on ``fecha``, say) that is an ordinary join.
     """
     visits.createOrReplaceTempView(VISITS)
     if attendance is not None:
