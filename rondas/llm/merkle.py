@@ -17,7 +17,8 @@ texts are hashed where they are read; only digests are shuffled. Columns besides
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -64,7 +65,7 @@ def leaves(docs: DataFrame, tampered: Column) -> DataFrame:
 # ---------------------------------------------------------------------- places
 
 
-def _ranked(rows: DataFrame, keys: list[str], order: list[str], parts: int) -> tuple[DataFrame, DataFrame]:
+def _ranked(rows: DataFrame, keys: list[str], order: list[str], parts: int) -> tuple[DataFrame, DataFrame | None]:
     """``rows`` with their place ``pos``, from 0, among those with equal ``keys``; and (keys, total, grp), grp counting keys from 0.
 
     Rows are sorted by range over all tasks, so neither a key with most of the rows nor many equal rows
@@ -83,19 +84,19 @@ def _ranked(rows: DataFrame, keys: list[str], order: list[str], parts: int) -> t
     )
     # At most (partitions + keys) stretches.
     stretches = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Over.partitionBy(*keys).orderBy("_part").rowsBetween(Over.unboundedPreceding, -1)
+    marks = stretches.withColumn("_prev", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     if keys:
         sizes = write_out(stretches.groupBy(*keys).agg(F.sum("_n").alias("size")))
-        totals = write_out(
-            _ranked(sizes, [], keys, parts)[0].select(*keys, F.col("size").alias("total"), F.col("pos").alias("grp"))
-        )
+        ranked, _ = _ranked(sizes, [], keys, parts)
+        totals = write_out(ranked.select(*keys, F.col("size").alias("total"), F.col("pos").alias("grp")))
+        same = reduce(lambda a, b: a & b, [F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}")) for c in keys])
+        marks = marks.alias("m").join(totals.alias("t"), same)
     else:
-        totals = stretches.agg(F.sum("_n").alias("total")).withColumn("grp", F.lit(0).cast("long"))
-    earlier = Over.partitionBy(*keys).orderBy("_part").rowsBetween(Over.unboundedPreceding, -1)
-    marks = stretches.withColumn("_prev", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}"))
-    marks = marks.alias("m").join(totals.alias("t"), same).select(
+        totals = None
+        total = stretches.agg(F.sum("_n")).first()[0] or 0  # a number
+        marks = marks.withColumns({"total": F.lit(total).cast("long"), "grp": F.lit(0).cast("long")})
+    marks = marks.select(
         *[F.col(f"m.{c}").alias(f"_{c}") for c in keys], F.col("_part").alias("_p"), "_first", "_prev", "total", "grp"
     )
     match = F.col("_part") == F.col("_p")
@@ -231,19 +232,20 @@ def witnesses(docs: DataFrame, tampered: Column, *, levels: int = LEVELS) -> Dat
     for nodes in by_source:
         done = nodes.filter((F.col("total") <= size) & (F.col("pos") == 0)).select("grp", "root")
         roots = done if roots is None else roots.unionByName(done)
-    n_sources = sources.agg(F.count(F.lit(1)).alias("total"))
-    tops = roots.crossJoin(F.broadcast(n_sources)).select(
-        F.lit(0).cast("long").alias("grp"), F.col("grp").alias("pos"), "total", F.col("root").alias("digest")
+    # A number, and below the root of all: 32 bytes.
+    n_sources = F.lit(sources.count()).cast("long")
+    tops = roots.select(
+        F.lit(0).cast("long").alias("grp"), F.col("grp").alias("pos"), n_sources.alias("total"), F.col("root").alias("digest")
     )
     last = write_out(_extended(_rounds(tops, levels), None, size).select(
         F.col("pos").alias("grp"), F.col("witness").alias("up"), F.col("subroot").alias("root")
     ))
     whole = _extended(by_source, last.select("grp", "up"), size)
-    # One row: the root of all.
-    root = last.agg(F.first("root").alias("root"))
-    return whole.crossJoin(F.broadcast(root)).select(
-        "doc_id", "source", F.col("digest").alias("leaf"), "altered", "witness", "subroot", "root"
-    )
+    root = (last.select("root").first() or [None])[0]
+    return whole.select(
+        "doc_id", "source", F.col("digest").alias("leaf"), "altered", "witness", "subroot",
+        F.lit(None if root is None else bytes(root)).cast("binary").alias("root"),
+    )
 
 
 def folded(digest: Column, witness: Column) -> Column:
