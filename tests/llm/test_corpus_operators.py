@@ -75,9 +75,8 @@ def best(texts, ids, items, item_ids):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_search_equals_all_scores(spark, seed):
-    texts, items = corpus(seed)
+def test_search_equals_all_scores(spark):
+    texts, items = corpus(1)
     ids = [None if i % 29 == 0 else i // 2 for i in range(len(texts))]
     names = list(range(len(items)))
     names[2] = names[3]
@@ -213,7 +212,7 @@ def plain_manifest(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("n", "levels"), [(1, 6), (2, 1), (3, 1), (4, 1), (10, 1), (28, 2), (82, 1), (200, 2), (200, 6)])
+@pytest.mark.parametrize(("n", "levels"), [(1, 6), (4, 1), (28, 2), (82, 1), (200, 6)])
 def test_manifest_equals_plain_python(spark, n, levels):
     rng = random.Random(n)
     rows = [
