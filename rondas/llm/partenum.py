@@ -21,7 +21,9 @@ is already connected are never made.
 Sets are equal if their sums of 64-bit element hashes and sizes are. Defined results:
 an empty or null text, or one without words, has no set and stands alone; a text
 with fewer words than n is one element; repeated rows share a component; a null
-``doc_id`` is never a component's name unless all its members' are null.
+``doc_id`` is never a component's name unless all its members' are null; of equal candidates for a name the least id
+stands; an empty table has no rows. A very long text is a block of its own, its set one row. Other columns may have any
+name: ``one_of_each`` keeps them, ``near_duplicates`` leaves them out.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ from rondas.llm.tables import identity, map_batches
 from rondas.sources.shared import scratch, write_out
 
 BAND_RATIO = 1.25
+#: Documents looked up by a broadcast of their names, of 16 bytes and about 50 in memory each.
+BROADCAST_KEYS = 1_000_000
 SKETCH_LONGS = 16
 #: Sets of at most so many elements are signed by pairs of least elements.
 SMALL = 40
@@ -334,6 +338,11 @@ def _links(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame
     return links.union(verified(paired(rest, rest, "a.node < b.node AND a.component <> b.component")))
 
 
+def bounded(keys: DataFrame) -> DataFrame:
+    """Written (rid, tag), to be broadcast while they are few; beyond that Spark joins by shuffling."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: the least ``doc_id`` reachable by links."""
     sets, names = components_of_sets(docs, n, percent)
@@ -351,21 +360,23 @@ def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """
     columns = docs.columns
     sets, names = components_of_sets(docs, n, percent)
+    worded = sets.filter("node IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "tag"))
-    per_node = sets.filter("node IS NOT NULL").groupBy("node").agg(first.alias("first"))
+    per_node = worded.groupBy("node").agg(first.alias("first"))
     chosen = (
         per_node.join(names, "node").groupBy("component").agg(F.min("first").alias("first")).select("first.rid", "first.tag")
     )
+    # Most documents stay where they are: the few that go are looked up, and so are those whose row is repeated.
+    rows_of = worded.groupBy("rid", "tag").agg(F.count(F.lit(1)).alias("n"))
+    gone = write_out(rows_of.join(chosen, ["rid", "tag"], "left_anti").select("rid", "tag"))
+    repeated = write_out(rows_of.filter("n > 1").select("rid", "tag").join(chosen, ["rid", "tag"], "left_semi"))
     number = [f"d{i}" for i in range(len(columns))]
     rows = docs.select(*identity(), *[F.col(f"`{c}`").alias(d) for c, d in zip(columns, number, strict=True)])
     text = number[columns.index("text")]
-    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     same = Over.partitionBy("rid", "tag").orderBy(*[d for d in number if d != text])
-    kept = (
-        rows.filter(worded)
-        .join(chosen, ["rid", "tag"], "left_semi")
-        .withColumn("row", F.row_number().over(same))
-        .filter("row = 1")
+    single = rows.join(bounded(gone.union(repeated)), ["rid", "tag"], "left_anti")
+    first_rows = (
+        rows.join(bounded(repeated), ["rid", "tag"], "left_semi").withColumn("row", F.row_number().over(same)).filter("row = 1")
     )
-    both = kept.select(*number).unionByName(rows.filter(~worded).select(*number))
+    both = single.select(*number).unionByName(first_rows.select(*number))
     return both.select(*[F.col(d).alias(c) for c, d in zip(columns, number, strict=True)])
