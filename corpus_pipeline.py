@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it
 as Parquet in the shared folder and reads it back as the next stage's ``docs``.
-All but the last return the columns of ``documents``. A null or empty text goes in the first stage, an
-empty table passes through all of them.
+All but the last return the columns of ``documents``; other columns of the input, whatever their names, are left out. A null or
+empty text goes in the first stage, an empty table passes through all of them. Of repeated rows one stays in the second
+stage, as of copies; of equal copies the one of least ``doc_id``, null last. Very long texts pass whole.
 """
 
 from __future__ import annotations
