@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Lists of the tables written inside the open ``scratch`` blocks, innermost last.
 _open: list[list[str]] = []
+#: Spark's setting (4.1 on) that removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,16 +46,32 @@ def write_out(df: DataFrame, *, keep: bool = False) -> DataFrame:
     For large intermediate results: compressed, and a later pass over a few
     columns reads only those. Small ones are cheaper through ``cut_lineage``.
     The size Spark reads from the files decides how it is joined. With ``keep`` the table
-    outlives the innermost ``scratch`` block.
+    outlives the innermost ``scratch`` block. Nothing reads the shuffles of a table that is
+    written: they go at once, instead of when the driver happens to collect its garbage.
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     blocks = _open[:-1] if keep else _open
     if blocks:
         blocks[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that begin inside the block go when these end; the session's setting comes back."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def remove(spark: SparkSession, name: str) -> None:
     """Delete a folder, through the file system it is on."""
     context = spark.sparkContext

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 
@@ -77,6 +78,35 @@ def test_scratch_tables_go(spark):
     assert set(folder.glob("table-*")) == before
 
 
+def shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {x for x in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x and x.endswith(".data")}
+
+
+@pytest.mark.parametrize("setting", [None, "false"])
+def test_shuffles_of_a_written_table_go(spark, setting):
+    from rondas.sources.shared import CLEANUP, write_out
+
+    spark.conf.unset(CLEANUP) if setting is None else spark.conf.set(CLEANUP, setting)
+    default = spark.conf.get(CLEANUP, None)
+    try:
+        grouped = spark.range(5000).selectExpr("id % 700 AS key", "id").groupBy("key").agg({"id": "sum"})
+        before = shuffle_files(spark)
+        grouped.write.format("noop").mode("overwrite").save()
+        assert shuffle_files(spark) - before
+        before |= shuffle_files(spark)
+        written = write_out(grouped)
+        end = time.time() + 20
+        while (left := shuffle_files(spark) - before) and time.time() < end:
+            time.sleep(0.1)
+        assert not left
+        assert spark.conf.get(CLEANUP, None) == default
+        # The same frame can be used again, and so can what is read back.
+        assert X.rows(written) == X.rows(grouped) == X.rows(write_out(grouped))
+    finally:
+        spark.conf.unset(CLEANUP)
+
+
 def test_database_read_is_cut_by_key():
     options = tables.jdbc_options("jdbc:postgresql://h/db", "programadas", 1, 1_000_000, 64, "programada_id", 10_000)
     assert options["partitionColumn"] == "programada_id" and options["numPartitions"] == "64"
